@@ -2,9 +2,13 @@
 
 from kilnwork.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kilnwork.llm.mixing import op8_mixing
+from kilnwork.llm.positional import OP3_SQL, op3_decontamination
+from kilnwork.llm.token_shards import op6_token_output
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
+    "op6_token_output": op6_token_output,
     "op8_mixing": op8_mixing,
 }
-SQL = {"op4_line_dedup": OP4_SQL}
+SQL = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL}
