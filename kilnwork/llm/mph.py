@@ -26,7 +26,7 @@ class MinimalPerfectHash:
 
     @staticmethod
     def _place(keys: np.ndarray, level: int, words: int) -> np.ndarray:
-        return (mix(keys ^ (_U(level + 1) * _U(0xD6E8FEB86659FD93))) % _U(64 * words)).astype(np.int64)
+        return (mix(keys ^ _U((level + 1) * 0xD6E8FEB86659FD93 % 2**64)) % _U(64 * words)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> MinimalPerfectHash:

@@ -211,7 +211,7 @@ def write_index(directory: DataFrame, folder: str, bucket_keys: int = BUCKET_KEY
         for name in ("part", "cut", "n_tokens", "at"):
             places[name][at] = rows.column(name).to_numpy()
         _put(folder, f"index-{key[0].as_py():06d}.mph", [hashed.to_bytes(), places.tobytes()])
-        return pa.table({"bucket": [key[0].as_py()], "n": pa.array([len(keys)], pa.int64())})
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
     done = directory.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(build, "bucket int, n long")
     written(done, f"{folder}/buckets")
