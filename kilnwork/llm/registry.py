@@ -1,5 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
+from kilnwork.llm.cover_tree import OP10_SQL, op10_cover_tree
 from kilnwork.llm.forest_join import OP9_SQL, op9_jaccard_join
 from kilnwork.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kilnwork.llm.mixing import op8_mixing
@@ -12,5 +13,6 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_cover_tree": op10_cover_tree,
 }
-SQL = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL}
+SQL = {"op3_decontamination": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op10_cover_tree": OP10_SQL}
