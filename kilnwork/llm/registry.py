@@ -8,8 +8,10 @@ from kilnwork.llm.mixing import op8_mixing
 from kilnwork.llm.positional import OP3_SQL, op3_decontamination
 from kilnwork.llm.quality import op2_quality
 from kilnwork.llm.token_shards import op6_token_output
+from kilnwork.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
     "op4_line_dedup": op4_line_dedup,
