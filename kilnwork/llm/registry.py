@@ -7,6 +7,7 @@ from kilnwork.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kilnwork.llm.mixing import op8_mixing
 from kilnwork.llm.positional import OP3_SQL, op3_decontamination
 from kilnwork.llm.quality import op2_quality
+from kilnwork.llm.secrets import op7_secrets
 from kilnwork.llm.token_shards import op6_token_output
 from kilnwork.llm.toxicity import op1_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
     "op6_token_output": op6_token_output,
+    "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_cover_tree": op10_cover_tree,
