@@ -1,25 +1,8 @@
-"""The catalogue of registered queries over the supplied tables, each with the SQL that says what it means."""
+"""All registered queries of the engine's own operators, and the SQL that says what each means."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from kilnwork.plans import relational
 
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def j1_catalog_left_join_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every order with the number of its line items, 0 where there are none."""
-    counts = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    orders = _read(spark, sf_dir, "orders")
-    return orders.join(counts, orders["o_orderkey"] == counts["l_orderkey"], "left").select("o_orderkey", "o_orderstatus", F.coalesce("n", F.lit(0)).alias("solved_count"))
-
-
-QUERIES = {"j1_catalog_left_join_default": j1_catalog_left_join_default}
-SQL = {
-    "j1_catalog_left_join_default": """
-        SELECT o_orderkey, o_orderstatus, coalesce(n, 0) AS solved_count
-        FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""",
-}
+QUERIES = {**relational.QUERIES}
+SQL = {**relational.SQL}
