@@ -181,8 +181,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
                 rest = [batch.column(c).slice(first, len(sets)) for c in ("rep", "team", "copies", "members")]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "team", "copies", "members", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    one_text = texts.join(groups.join(teams, "team"), "rep").groupBy("rep", "team", "copies", "members").agg(F.first("text").alias("text")) if _repeats(sketches) else texts.join(groups.join(teams, "team"), "rep")
+    # texts meet the groups by a sort-merge join at every size: the groups grow with the documents
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge")
+    one_text = texts.join(groups.join(teams, "team"), "rep")
+    if _repeats(sketches):
+        one_text = one_text.groupBy("rep", "team", "copies", "members").agg(F.first("text").alias("text"))
     members = one_text.mapInArrow(whole, "rep long, team long, copies long, members long, shingles binary")
     found = written(dealt(members, ["team"], "members", GROUP_BLOCK).groupBy("team", "i", "j").applyInArrow(_verify(threshold), "a long, b long, kind int"))
     links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
