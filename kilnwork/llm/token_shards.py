@@ -47,9 +47,11 @@ REMEMBERED = 1_000_000
 _MAGIC = b"TOKS"
 _UNSURE = re.compile(r"[^!-~À-ɏ] |^ ")
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= )")
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Words of printable ASCII, Latin letters and line feeds, and the vocabulary's splitting pattern for such words.
+_PLAIN = re.compile(r"[!-~\nÀ-ɏ]+")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
 #: How the byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on in order.
-_BYTE_LEVEL = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
+_LETTERS_OF = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _encoders: dict = {}
 
 
@@ -60,19 +62,19 @@ def default_tokenizer() -> str:
 
 
 class _Memo(dict):
-    """Ids of a space and a word, by word; the older half is let go when REMEMBERED words are held."""
+    """What `encode` gives, by text; of REMEMBERED texts the older half is let go."""
 
     def __init__(self, encode):
         self.encode, self.older = encode, {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
         if ids is None:
-            ids = self.encode(word)
+            ids = self.encode(text)
         if len(self) >= REMEMBERED // 2:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
+        self[text] = ids
         return ids
 
 
@@ -89,7 +91,7 @@ class Encoder:
         self.code = "H" if self.width == 2 else "I"
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.memo = _Memo(self._word)
+        self.memo, self.runs = _Memo(self._word), _Memo(self._run)
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -98,11 +100,16 @@ class Encoder:
         return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        if letters := _LETTERS.fullmatch(word):  # one or two runs of the splitting pattern: the library's merges apply to each
-            ids = [t.id for t in self.model.tokenize("Ġ" + letters[1].encode().decode("latin-1").translate(_BYTE_LEVEL))]
-            return self._pack(ids) + (self.whole(letters[2]) if letters[2] else b"")
+        """Ids of a space and a word."""
+        if _PLAIN.fullmatch(word):
+            return b"".join([self.runs[x] for x in _RUNS.findall(" " + word)])
         return self.whole(" " + word)
 
+    def _run(self, run: str) -> bytes:
+        """Ids of one run of the splitting pattern: the library's merges alone."""
+        letters = run.translate(_LETTERS_OF) if run.isascii() else run.encode().decode("latin-1").translate(_LETTERS_OF)
+        return self._pack([t.id for t in self.model.tokenize(letters)])
+
     def one(self, text: str) -> bytes:
         if self.special and self.special.search(text):
             return self.whole(text)
