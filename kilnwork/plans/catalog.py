@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import relational
+from kilnwork.plans import documents, relational
 
-QUERIES = {**relational.QUERIES}
-SQL = {**relational.SQL}
+QUERIES = {**relational.QUERIES, **documents.QUERIES}
+SQL = {**relational.SQL, **documents.SQL}
