@@ -5,8 +5,8 @@ cut off is shared out again among the others by weight until no target lies abov
 the water is the largest of (total - caps so far) / (weights left), so one window over the sources finds it.
 
 A source whose target is r times its size gives every document floor(r) times, and once more the documents that come first in a
-seeded order until the rest of the target is met; one more document, the one whose size is nearest to what is still missing,
-closes the gap. Only (source, size, hash) is ever ordered: totals of hash ranges find the range where the cut falls, and a
+seeded order until the rest of the target is met; up to CLOSERS more documents, each the one whose size is nearest to what is
+still missing, close the gap. Only (source, size, hash) is ever ordered: totals of hash ranges find the range where the cut falls, and a
 window orders the documents of that range alone, so that a source with most of the rows is never in one task.
 
 Defined results: null and empty texts have size 0 and are taken 0 times over; a null source is a source, after all others; equal
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from kilnwork.llm.shared import table, written
 
 MAX_EPOCHS = 3
-RANGES = 1024
+#: Documents that close a source's gap, at most.
+CLOSERS = 3
 #: Plans with at most so many sources are broadcast (about 100 bytes a source).
 BROADCAST_SOURCES = 50_000
 
@@ -52,7 +53,7 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 
 def plan_mix(slim: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """From (source, mix_size, mix_hash): one row a source with target, whole (repetitions of all), upto (hash of the last document with one more) and also (hash of the one that closes the gap)."""
+    """From (source, mix_size, mix_hash): one row a source with target, whole (repetitions of all), upto (the place of the last document with one more) and also (hashes of those that close the gap)."""
     at = F.shiftrightunsigned("mix_hash", 54).cast("int")
     ordered = slim.select("source", "mix_size", F.col("mix_hash"), at.alias("at"))
     totals = written(ordered.groupBy("source", "at").agg(F.sum("mix_size").alias("size")))
@@ -80,20 +81,18 @@ def plan_mix(slim: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     ends = c.join(last.withColumnRenamed("source", "ls"), F.col("s").eqNullSafe(F.col("ls")), "left").select(
         "s", F.coalesce("last.key", floor_key).alias("upto"), (F.col("quota") - F.coalesce("last.run", "base")).alias("gap")
     )
-    ends = written(ends)
-    e = F.broadcast(ends) if small else ends
+    ends = written(ends.withColumn("also", F.array().cast("array<long>")))
     key = F.col("mix_hash").bitwiseXOR(F.lit(-(2**63)))
     off = F.abs(F.col("mix_size") - F.col("gap"))
-    also = (
-        ordered.join(e, F.col("source").eqNullSafe(F.col("s")) & (F.col("upto").isNull() | (key > F.col("upto"))))
-        .filter((F.col("mix_size") > 0) & (off < F.col("gap")))
-        .groupBy("source")
-        .agg(F.min(F.struct(off.alias("off"), F.col("mix_hash").alias("hash"))).alias("also"))
-        .select(F.col("source").alias("as"), F.col("also.hash").alias("also"))
-    )
+    for _ in range(CLOSERS):  # each time the document nearest in size to what is still missing, if it brings the total nearer
+        e = F.broadcast(ends) if small else ends
+        left = ordered.join(e, F.col("source").eqNullSafe(F.col("s")) & (F.col("upto").isNull() | (key > F.col("upto"))))
+        near = left.filter((F.col("mix_size") > 0) & (off < F.col("gap")) & ~F.array_contains("also", F.col("mix_hash"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("mix_hash").alias("hash"), F.col("mix_size").alias("size"))).alias("next"))
+        ends = written(
+            ends.join(near.withColumnRenamed("source", "ns"), F.col("s").eqNullSafe(F.col("ns")), "left").select("s", "upto", (F.col("gap") - F.coalesce("next.size", F.lit(0))).alias("gap"), F.when(F.col("next").isNull(), F.col("also")).otherwise(F.array_append("also", F.col("next.hash"))).alias("also"))
+        )
     return (
         targets.join(ends.drop("gap"), F.col("source").eqNullSafe(F.col("s")), "left")
-        .join(also, F.col("source").eqNullSafe(F.col("as")), "left")
         .select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), "whole", "upto", "also")
     )
 
@@ -102,7 +101,7 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
     """docs as sized() gives them, with mix_repeats (times that a document is taken) and its source's mix_source_size and mix_target."""
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
     key = F.col("mix_hash").bitwiseXOR(F.lit(-(2**63)))
-    more = F.coalesce(key <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("mix_hash") == F.col("also"), F.lit(False))
+    more = F.coalesce(key <= F.col("upto"), F.lit(False)) | F.coalesce(F.array_contains("also", F.col("mix_hash")), F.lit(False))
     times = F.when(F.col("mix_size") > 0, F.col("whole") + more.cast("long")).otherwise(0)
     return docs.join(plan, docs["source"].eqNullSafe(plan["mix_source"]), "left").withColumn("mix_repeats", times).drop("whole", "upto", "also", "mix_source")
 
