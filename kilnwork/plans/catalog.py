@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import documents, relational
+from kilnwork.plans import documents, lifecycle, relational
 
-QUERIES = {**relational.QUERIES, **documents.QUERIES}
-SQL = {**relational.SQL, **documents.SQL}
+QUERIES = {**relational.QUERIES, **documents.QUERIES, **lifecycle.QUERIES}
+SQL = {**relational.SQL, **documents.SQL, **lifecycle.SQL}
