@@ -29,19 +29,28 @@ def _signed(value: Column) -> Column:
 
 def valid_bitmap(payload: Column) -> Column:
     """An uncompressed BMP, with either header, whose told size is its own (or one more), and whose palette and rows lie inside it."""
-    n = F.octet_length(payload).cast("long")
     le = lambda at, size: little_endian(payload, at, size)
-    info = le(14, 4)
-    old = info == 12
-    width, height = F.when(old, le(18, 2)).otherwise(_signed(le(18, 4))), F.when(old, le(20, 2)).otherwise(_signed(le(22, 4)))
-    planes, depth = F.when(old, le(22, 2)).otherwise(le(26, 2)), F.when(old, le(24, 2)).otherwise(le(28, 2))
-    compression, used = F.when(old, 0).otherwise(le(30, 4)), F.when(old, 0).otherwise(le(46, 4))
-    most = F.when(depth <= 8, F.pow(F.lit(2.0), depth).cast("long")).otherwise(F.lit(1 << 62))
-    entries = F.when((depth <= 8) & (used == 0), most).otherwise(used)
-    row = F.floor((width * depth + 31) / 32) * 4
-    form = (n >= 26) & _starts(payload, "424D") & ((le(2, 4) == n) | (le(2, 4) == n + 1)) & (old | ((info >= 40) & (n >= 14 + info)))
-    inside = (width > 0) & (height != 0) & (planes == 1) & depth.isin(1, 4, 8, 16, 24, 32) & (compression == 0) & (used <= most)
-    return F.when(F.coalesce(form, F.lit(False)), inside & (le(10, 4) >= 14 + info + entries * F.when(old, 3).otherwise(4)) & (le(10, 4) + row * F.abs(height) <= n)).otherwise(False)
+    names = {"n": F.octet_length(payload).cast("long"), "told": le(2, 4), "data": le(10, 4), "info": le(14, 4), "a2": le(18, 2), "b2": le(20, 2), "c2": le(22, 2), "d2": le(24, 2)}
+    names |= {"a4": _signed(le(18, 4)), "b4": _signed(le(22, 4)), "planes": le(26, 2), "depth": le(28, 2), "packing": le(30, 4), "used": le(46, 4)}
+    read = F.struct(*[v.alias(k) for k, v in names.items()])
+
+    def sized(h: Column) -> Column:
+        old = h["info"] == 12
+        pick = lambda one, two: F.when(old, one).otherwise(two)
+        depth = pick(h["d2"], h["depth"])
+        fields = {"n": h["n"], "told": h["told"], "data": h["data"], "info": h["info"], "old": old, "width": pick(h["a2"], h["a4"]), "height": pick(h["b2"], h["b4"]), "planes": pick(h["c2"], h["planes"]), "depth": depth, "packing": pick(F.lit(0), h["packing"]), "used": pick(F.lit(0), h["used"])}
+        return F.struct(*[v.alias(k) for k, v in fields.items()], F.when(depth <= 8, F.pow(F.lit(2.0), F.greatest(depth, F.lit(0))).cast("long")).otherwise(F.lit(1 << 62)).alias("most"))
+
+    def fits(h: Column) -> Column:
+        form = (h["n"] >= 26) & ((h["told"] == h["n"]) | (h["told"] == h["n"] + 1)) & (h["old"] | ((h["info"] >= 40) & (h["n"] >= 14 + h["info"])))
+        inside = (h["width"] > 0) & (h["height"] != 0) & (h["planes"] == 1) & h["depth"].isin(1, 4, 8, 16, 24, 32) & (h["packing"] == 0) & (h["used"] <= h["most"])
+        entries = F.when((h["depth"] <= 8) & (h["used"] == 0), h["most"]).otherwise(h["used"])
+        row = F.floor((h["width"] * h["depth"] + 31) / 32) * 4
+        return form & inside & (h["data"] >= 14 + h["info"] + entries * F.when(h["old"], 3).otherwise(4)) & (h["data"] + row * F.abs(h["height"]) <= h["n"])
+
+    # lambdas over arrays of one name what is read once, so that the expression stays small
+    told = F.transform(F.transform(F.transform(F.array(read), sized), fits), lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(_starts(payload, "424D"), told[0]).otherwise(False)
 
 
 def extension(payload: Column) -> Column:
@@ -56,9 +65,10 @@ def extension(payload: Column) -> Column:
 RASTER_TYPES = ("image/png", "image/jpeg", "image/gif", "image/webp", "image/bmp")
 
 
-def acceptance_error(kind: Column, declared_type: Column, payload: Column, fetched_type: Column, allow_raster: bool = True, allow_pdf: bool = True, max_bytes: int = 20 << 20) -> Column:
-    """The first reason not to store what was fetched for a node of this kind (image or attachment), null if there is none."""
-    ext, pdf = extension(payload), kind == "attachment"
+def acceptance_error(kind: Column, declared_type: Column, payload: Column, fetched_type: Column, ext: Column | None = None, allow_raster: bool = True, allow_pdf: bool = True, max_bytes: int = 20 << 20) -> Column:
+    """The first reason not to store what was fetched for a node of this kind (image or attachment), null if there is none. ext: extension() of the payload, where it is at hand."""
+    ext = extension(payload) if ext is None else ext
+    pdf = kind == "attachment"
     out = F.when(payload.isNull() | (F.octet_length(payload) == 0), "empty-asset-payload").when(F.octet_length(payload) > max_bytes, "asset-too-large")
     if not allow_pdf:
         out = out.when(pdf, "pdf-attachments-disabled")

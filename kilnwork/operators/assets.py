@@ -11,9 +11,11 @@ from kilnwork.functions.text import media_type
 
 def accepted(fetched: DataFrame, allow_raster: bool = True, allow_pdf: bool = True, max_bytes: int = 20 << 20) -> DataFrame:
     """(url, kind, name, payload, error) of fetched resources (url, kind, declared_type, payload, media_type)."""
-    error = binary.acceptance_error(F.col("kind"), F.col("declared_type"), F.col("payload"), media_type(F.col("media_type")), allow_raster, allow_pdf, max_bytes)
-    name = F.concat(binary.digest(F.col("payload")), F.lit("."), binary.extension(F.col("payload")))
-    return fetched.select("url", "kind", F.when(error.isNull(), name).alias("name"), F.when(error.isNull(), F.col("payload")).alias("payload"), error.alias("error"))
+    known = fetched.withColumn("_ext", binary.extension(F.col("payload")))
+    error = binary.acceptance_error(F.col("kind"), F.col("declared_type"), F.col("payload"), media_type(F.col("media_type")), F.col("_ext"), allow_raster, allow_pdf, max_bytes)
+    told = known.withColumn("error", error)
+    name = F.concat(binary.digest(F.col("payload")), F.lit("."), F.col("_ext"))
+    return told.select("url", "kind", F.when(F.col("error").isNull(), name).alias("name"), F.when(F.col("error").isNull(), F.col("payload")).alias("payload"), "error")
 
 
 def store(payloads: DataFrame, existing: DataFrame | None = None) -> DataFrame:
