@@ -184,3 +184,31 @@ def test_violations(spark):
     got = {(r.code, r.path) for r in render.violations(nodes, F.lit("statement")).collect()}
     assert got == {("invalid-heading-level", "document/0"), ("unknown-node-kind", "document/1"), ("remote-image-in-ready-document", "document/2"), ("invalid-attachment-media-type", "document/3"), ("unresolved-tutorial-slot", "document/4")}
     assert render.violations(nodes, F.lit("editorial"), ready=False).filter("code = 'invalid-attachment-content-kind'").count() == 1
+
+
+# JSON
+
+
+def test_json_round_trip(spark):
+    import json
+
+    from kilnwork.operators import encode
+
+    pages = [post('<h2>T "q" é</h2><ol><li>a<li>b</ol><div class="spoiler"><b class="spoiler-title">Show <i>it</i></b><div class="spoiler-content"><p>x</p></div></div><table><tr><th>h<td>d</table><hr><div class="spoiler"></div><pre>a\n\tb</pre>'), post("")]
+    nodes = editorial.editorial_nodes(frame(spark, *pages)).cache()
+    trees = encode.tree_json(nodes).cache()
+    texts = {r.doc_id: r.json for r in trees.collect()}
+    for t in texts.values():
+        value = json.loads(t)
+        assert json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")) == t
+    first = json.loads(texts[0])
+    assert first["children"][0] == {"attrs": {"level": 2}, "children": [{"kind": "text", "text": 'T "q" é'}], "kind": "heading"}
+    assert first["children"][2]["attrs"]["title"][1]["kind"] == "emphasis" and first["children"][1]["attrs"] == {"ordered": True}
+    assert texts[1] == '{"kind":"document"}'
+    key = lambda r: (r.doc_id, tuple(r.path), r.kind, tuple(sorted(r.attrs.items())), r.text)
+    assert sorted(map(key, encode.decoded(trees).collect())) == sorted(map(key, nodes.collect()))
+    bad = spark.createDataFrame([(1, '{"kind": "document"}'), (2, '{"kind":"a","kind":"b"}'), (3, "{")], "doc_id long, json string")
+    assert {r.error for r in encode.decoded(bad).collect()} == {"invalid-canonical-json"}
+    envelope = spark.createDataFrame([(1, "17A", "17", "A", URL, "html", None, ["x.png"])], "doc_id long, problem_code string, contest_id string, index string, source_url string, source_kind string, diagnostics array<struct<severity:string,code:string,message:string,path:string>>, assets array<string>")
+    text = encode.statement_json(trees, envelope).first().json
+    assert json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":")) == text and json.loads(text)["schema"] == 2
