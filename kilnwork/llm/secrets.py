@@ -4,7 +4,7 @@ Fixed formats are matched over the whole text (BASE). Their values are the label
 PER_KIND distinct ones, by hash. From each kind's strings a prefix tree with counts is built and its states are merged where
 a Hoeffding bound lets their outgoing frequencies, and those of all that follow, be the same (red-blue order); what is left is a
 probabilistic automaton of the kind's format. Strings are spelled by classes of characters, except for the letters that all of a kind's strings begin
-with, which stay themselves. A background automaton comes in the same way from candidates that hold no digit or no letter.
+with, which stay themselves. A background automaton comes in the same way from runs of that length that hold no digit (of each text the first run).
 
 A candidate is every maximal run of 12 or more characters [A-Za-z0-9+/_.=-] (full stops and dashes cut from its ends) with a
 letter and a digit in it, outside all base spans. It is reported, as kind `format`, if its log-likelihood a character under some kind's
@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import log, sqrt
 
 import numpy as np
@@ -58,11 +60,13 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
     out = []
     if not _DIGIT.search(text):
         return out
+    starts, reach = [x[0] for x in taken], list(accumulate((x[2] for x in taken), max))
     for m in _RUN.finditer(text):
         value = m[0].strip(".-")
         start = m.start() + len(m[0]) - len(m[0].lstrip(".-"))
         end = start + len(value)
-        if len(value) >= LEAST and _DIGIT.search(value) and _LETTER.search(value) and not any(s < end and start < e for s, _, e, _ in taken):
+        before = bisect_left(starts, end)  # the base spans that begin before its end; it is free of them if none reaches past its start
+        if len(value) >= LEAST and _DIGIT.search(value) and _LETTER.search(value) and (not before or reach[before - 1] <= start):
             out.append((start, end, value))
     return out
 
@@ -197,7 +201,7 @@ _RUN_TYPE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, runs, plain): base spans and candidates of each whole text, and a seeded one of its longer plain words."""
+    """(doc_id, base, runs, plain): base spans and candidates of each whole text, and its first long run if that holds no digit."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

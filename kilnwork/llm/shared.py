@@ -26,13 +26,6 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(df_path: str, spark: SparkSession) -> None:
-    """Remove a folder that written() made, by Spark's own file system client."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(column: str, by: int) -> F.Column:
     """crc32 of an id as text, modulo `by`: the fold that a row falls in. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by
