@@ -77,10 +77,14 @@ def ordered(pending_rows: DataFrame, ranks: DataFrame, by: str, catalogue_order:
     return pending_rows.join(ranks, by, "left").orderBy(F.col("batch").desc_nulls_last(), F.col("pos").asc_nulls_last(), *catalogue_order)
 
 
+def preview(pending_rows: DataFrame, ranks: DataFrame, names: DataFrame, by: str = "content_id") -> DataFrame:
+    """(id, label, place) of pending ids in the order that a run would take them; names: (id, name), the label falls back to the id."""
+    place = F.row_number().over(Window.orderBy(F.col("batch").desc_nulls_last(), F.col("pos").asc_nulls_last(), by))
+    rows = pending_rows.join(ranks, by, "left").withColumn("place", place)
+    label = F.when(F.length("name") > 0, F.concat(F.col(by).cast("string"), F.lit(" — "), "name")).otherwise(F.col(by).cast("string"))
+    return rows.join(names.withColumnRenamed("id", by), by, "left").select(F.col(by).alias("id"), label.alias("label"), "place")
+
+
 def popped(remaining: DataFrame, ranks: DataFrame, by: str = "content_id") -> DataFrame:
     """The first queued id that still remains, one row with its batch and pos, or none; ids queued ahead of it are stale."""
     return ranks.join(remaining.select(by), by, "left_semi").orderBy(F.col("batch").desc(), "pos", by).limit(1)
-
-
-def rank_by_batch(by: list[Column]) -> Column:
-    return F.row_number().over(Window.orderBy(*by))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.functions import binary
-from kilnwork.operators import assets, editorial, receipts, render
-from kilnwork.plans.relational import _FOLD, read, x2_item_status_fold
+from kilnwork.operators import assets, editorial, encode, receipts, render, statement, status
+from kilnwork.plans.relational import _FOLD, read, x1_retry_selection, x2_item_status_fold
 
 
 def q4_receipt_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +67,32 @@ def t8_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "error", F.coalesce(F.contains("html", F.lit("data-problem-code")), F.lit(False)).alias("has_section"))
 
 
+def x12_rebuild_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending users in the order of a run, clicked ones first, with customers' names as labels."""
+    e = read(spark, sf_dir, "events")
+    ranks = status.queue_ranks(e.filter("event_type = 'click'").select(F.col("event_id").alias("seq"), F.lit(0).alias("pos"), F.col("user_id").alias("content_id")))
+    names = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return status.preview(x1_retry_selection(spark, sf_dir), ranks, names)
+
+
+def a9_pending_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = x1_retry_selection(spark, sf_dir).select(F.when(F.col("content_id") % 2 == 0, "statement").otherwise("editorial").alias("content_kind"))
+    return rows.groupBy("content_kind").agg(F.count("*").alias("n"))
+
+
+def p11_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' articles as canonical JSON."""
+    pages = read(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url", F.replace(F.col("html"), F.lit("<article"), F.lit('<article class="problem-statement"')).alias("html"))
+    return encode.tree_json(statement.statement_nodes(pages)).select("doc_id", F.md5(F.col("json").cast("binary")).alias("json_md5"), F.length("json").alias("chars"))
+
+
 SQL = {
+    "x12_rebuild_preview": f"""WITH {_FOLD}, p AS (SELECT content_id FROM fo WHERE content_id IN (1, 2, 3) OR coalesce(marker IN ('transient_failure', 'invalid_structure'), false) OR (NOT visible AND coalesce(marker <> 'known_absent', true))),
+        r AS (SELECT user_id, max(event_id) AS c FROM events WHERE event_type = 'click' GROUP BY user_id)
+        SELECT content_id AS id, CASE WHEN length(c_name) > 0 THEN content_id::VARCHAR || ' — ' || c_name ELSE content_id::VARCHAR END AS label, row_number() OVER (ORDER BY c DESC NULLS LAST, content_id)::INT AS place
+        FROM p LEFT JOIN r ON user_id = content_id LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON c_custkey = content_id""",
+    "a9_pending_by_kind": f"""WITH {_FOLD} SELECT CASE WHEN content_id % 2 = 0 THEN 'statement' ELSE 'editorial' END AS content_kind, count(*) AS n FROM fo
+        WHERE content_id IN (1, 2, 3) OR coalesce(marker IN ('transient_failure', 'invalid_structure'), false) OR (NOT visible AND coalesce(marker <> 'known_absent', true)) GROUP BY 1""",
     "q4_receipt_valid": "SELECT event_id, event_type NOT IN ('error', 'signup') AND event_id % 3 <> 2 AND event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid FROM events",
     "x6_fragment_responses": """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'html' WHEN 1 THEN 'missing' ELSE 'transient' END AS outcome,
         CASE event_id % 5 WHEN 2 THEN event_id::VARCHAR || ':missing-tutorial-html' WHEN 3 THEN event_id::VARCHAR || ':invalid-tutorial-response' WHEN 4 THEN event_id::VARCHAR || ':tutorial-request-failed' END AS error FROM events""",
@@ -78,4 +103,4 @@ SQL = {
     "q10_asset_errors": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'empty-asset-payload' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 2 THEN 'invalid-pdf-magic' END WHEN doc_id % 3 = 0 THEN 'invalid-raster-magic' ELSE 'invalid-raster-media-type' END AS error FROM documents""",
     "t8_compose": "SELECT doc_id, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 <> 0 THEN 'unresolved-tutorial-slot' END AS error, doc_id % 2 = 0 AS has_section FROM documents JOIN benchmark ON item_id = doc_id",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in (*SQL, "p11_document_json")}
