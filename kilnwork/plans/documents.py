@@ -29,9 +29,9 @@ _CODE = {
 
 
 def f5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Literal snippets and the documents, which hold no code."""
+    """Literal snippets, and the documents, which hold no code."""
     snippets = spark.createDataFrame([(-k, v) for k, v in _CODE.items()], "doc_id long, text string")
-    rows = snippets.unionByName(read(spark, sf_dir, "documents").filter("doc_id < 0").select("doc_id", "text"))
+    rows = snippets.unionByName(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", text.code_language(F.col("text")).alias("language"))
 
 
@@ -141,7 +141,7 @@ SQL = {
     "f3_math": r"""WITH p AS (SELECT doc_id, string_split(text, '$$$') AS p FROM documents)
         SELECT doc_id, md5(array_to_string([CASE WHEN k = 1 THEN '' WHEN k <= len(p) - (len(p) - 1) % 2 THEN '$' ELSE '$$$' END || CASE WHEN k % 2 = 0 AND k < len(p) + 1 - (len(p) - 1) % 2 AND k < len(p) THEN replace(p[k], '\lt', '<') ELSE p[k] END FOR k IN range(1, len(p) + 1)], '')) AS math_md5 FROM p""",
     "f4_escape": f"SELECT page_id, md5({_ESC}) AS escaped_md5 FROM pages",
-    "f5_language": "SELECT * FROM (VALUES (-1, 'c'), (-2, 'cpp'), (-3, 'rust'), (-4, 'kotlin'), (-5, 'go'), (-6, 'csharp'), (-7, 'java'), (-8, 'python'), (-9, 'python'), (-10, 'javascript'), (-11, NULL), (-12, NULL), (-13, 'qsharp')) t(doc_id, language)",
+    "f5_language": "SELECT * FROM (VALUES (-1, 'c'), (-2, 'cpp'), (-3, 'rust'), (-4, 'kotlin'), (-5, 'go'), (-6, 'csharp'), (-7, 'java'), (-8, 'python'), (-9, 'python'), (-10, 'javascript'), (-11, NULL), (-12, NULL), (-13, 'qsharp')) t(doc_id, language) UNION ALL SELECT doc_id, NULL FROM documents",
     "f7_link_sanitize": r"""SELECT page_id, CASE WHEN regexp_matches(url, '^(?i)https?://[^/?#:@]+(:[0-9]+)?([/?#]|$)') AND NOT regexp_matches(url, '[\s\\]') THEN url END AS link, NULL::VARCHAR AS rest FROM pages""",
     "f14_url_identity": "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN page_id::VARCHAR END AS contest_id, CASE WHEN page_id % 3 = 0 THEN 'A1' END AS index FROM pages",
     "f15_code_split": "SELECT p_partkey, regexp_extract(p_partkey::VARCHAR || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'), '^([0-9]+)([A-Za-z][A-Za-z0-9]*)$', 1) AS contest_id, regexp_extract(p_partkey::VARCHAR || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g'), '^([0-9]+)([A-Za-z][A-Za-z0-9]*)$', 2) AS index FROM part",
