@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-Texts are sets of SHINGLE-word shingles. Equal sets make one class with a representative (its smallest doc_id); classes, not
-documents, are compared. Each of TREES trees gives a class a label of DEPTH min-hashes, 16 bits each, packed so that the order of
+Texts are sets of SHINGLE-word shingles. Equal sets make one class with a representative (its smallest row, see numbered());
+classes, not documents, are compared. Each of TREES trees gives a class a label of DEPTH min-hashes, 16 bits each, packed so that the order of
 labels is the order of the tree's prefix trie: classes that share a prefix of r hashes lie next to each other. The matched prefix
 is shortened from DEPTH on until a pair at the threshold shares one in some tree with a probability of RECALL.
 
@@ -12,7 +12,7 @@ compared by their whole shingle sets, in blocks again; each class gets the numbe
 verified links' spanning forests give the final classes.
 
 Defined results: a null or empty text, or one without words, links with nothing; equal texts are links of each other; equal
-doc_ids are rows of their own with the same result; a null doc_id has class null and is linked by no one; an empty table gives
+doc_ids are rows of their own, each judged by its own text; a null doc_id has class null and is linked by no one; an empty table gives
 no rows; further columns are not read.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.components import Forest, components
-from kilnwork.llm.shared import table, written
+from kilnwork.llm.shared import numbered, table, written
 from kilnwork.llm.words import blocks, mix, shingles, words_by_text
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -167,9 +167,22 @@ def _verify(threshold: float):
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, n_links): the smallest doc_id reachable by links of similarity >= threshold, and the number of other rows linked directly."""
+    rows, by_number = numbered(docs.select(F.col("doc_id").cast("long"), "text"))
+    found = row_classes(rows, threshold, recall)
+    if not by_number:
+        return found.select(F.col("row").alias("doc_id"), F.col("class_row").alias("class_id"), "n_links")
+    named = written(found.join(rows.select(F.col("_row").alias("row"), "doc_id"), "row"))
+    least = named.groupBy("class_row").agg(F.min("doc_id").alias("class_id"))
+    nobody = rows.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return named.join(least, "class_row").select("doc_id", "class_id", "n_links").unionByName(nobody)
+
+
+def row_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """(row, class_row, n_links) of rows as numbered() gives them, without those of a null doc_id: the smallest row of each one's class, and the number of other rows linked directly."""
+    docs = rows.filter("doc_id IS NOT NULL").select(F.col("_row").alias("doc_id"), "text")
     sketches = written(sketch(docs))
     classes = written(
-        sketches.filter("k1 IS NOT NULL AND doc_id IS NOT NULL").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+        sketches.filter("k1 IS NOT NULL").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     )
     groups = components(candidate_edges(classes, depth_for(threshold, recall), threshold)).select(F.col("node").alias("rep"), F.col("component").alias("team"))
     groups = written(groups.join(classes.select("rep", "copies"), "rep"))
@@ -184,21 +197,13 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     # texts meet the groups by a sort-merge join at every size: the groups grow with the documents
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge")
     one_text = texts.join(groups.join(teams, "team"), "rep")
-    if _repeats(sketches):
-        one_text = one_text.groupBy("rep", "team", "copies", "members").agg(F.first("text").alias("text"))
     members = one_text.mapInArrow(whole, "rep long, team long, copies long, members long, shingles binary")
     found = written(dealt(members, ["team"], "members", GROUP_BLOCK).groupBy("team", "i", "j").applyInArrow(_verify(threshold), "a long, b long, kind int"))
     links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
     per_class = written(classes.join(links, "rep", "left").join(joined, "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    alone = (F.col("k1").isNull() | F.col("doc_id").isNull())
-    rest = sketches.filter(alone).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return sketches.filter(~alone).select("doc_id", "k1", "k2", "size").join(per_class, ["k1", "k2", "size"]).select("doc_id", F.col("class").alias("class_id"), F.col("links").alias("n_links")).unionByName(rest)
-
-
-def _repeats(sketches: DataFrame) -> bool:
-    """Whether any doc_id is on several rows."""
-    return sketches.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+    rest = sketches.filter("k1 IS NULL").select(F.col("doc_id").alias("row"), F.col("doc_id").alias("class_row"), F.lit(0).cast("long").alias("n_links"))
+    return sketches.filter("k1 IS NOT NULL").select("doc_id", "k1", "k2", "size").join(per_class, ["k1", "k2", "size"]).select(F.col("doc_id").alias("row"), F.col("class").alias("class_row"), F.col("links").alias("n_links")).unionByName(rest)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

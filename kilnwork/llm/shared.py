@@ -26,6 +26,12 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with `_row`, an id of each row's own, and whether that is a number: where every doc_id is there and on one row it is the doc_id, else rows are written with numbers."""
+    odd = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 OR doc_id IS NULL").limit(1).count() > 0
+    return (written(docs.withColumn("_row", F.monotonically_increasing_id())), True) if odd else (docs.withColumn("_row", F.col("doc_id").cast("long")), False)
+
+
 def remainder(column: str, by: int) -> F.Column:
     """crc32 of an id as text, modulo `by`: the fold that a row falls in. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % by

@@ -294,6 +294,13 @@ def test_jaccard_join_of_odd_rows(spark):
     assert forest_join.jaccard_join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_join_of_texts_under_one_id(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (7, a), (8, a + " x y z")], "doc_id long, text string")
+    rows = sorted((r.doc_id, r.class_id, r.n_links) for r in forest_join.jaccard_join(docs).collect())
+    assert rows == [(3, 3, 1), (5, 3, 1), (5, 5, 1), (7, 5, 1), (8, 8, 0)]
+
+
 def test_prefix_depth_meets_the_recall():
     d = forest_join.depth_for()
     assert 1 - (1 - 0.8**d) ** forest_join.TREES >= forest_join.RECALL and (d == forest_join.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** forest_join.TREES < forest_join.RECALL)

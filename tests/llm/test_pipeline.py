@@ -60,3 +60,18 @@ def test_empty_documents_go_through(spark, tables):
     none = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, tables).count() == 0
+
+
+def test_rows_are_judged_one_by_one(spark, tables):
+    """Null and repeated doc_ids: a row goes by its own text, and one row stays of each class."""
+    rng = random.Random(5)
+    text = [" ".join(f"u{rng.randint(0, 9999)}" for _ in range(40)) for _ in range(6)]
+    leak = text[5] + " benchmark words that nobody else would write in this very order today"
+    of = lambda *rows: spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    docs = of((None, leak), (None, text[0]), (1, leak), (1, text[1]), (2, text[2]), (2, text[2]))
+    assert left(corpus_pipeline.decontamination_stage(spark, docs, tables)) == sorted([(None, text[0]), (1, text[1]), (2, text[2]), (2, text[2])], key=str)
+    # 9 is a copy of 3's second text only, 4's rows differ, 5 is on two equal rows, 7's first row is a copy of 6
+    docs = of((9, text[1]), (3, text[0]), (3, text[1]), (4, text[2]), (4, text[3]), (5, text[4]), (5, text[4]), (7, text[5]), (7, text[5] + " and much more of other words than the five that a shingle has in it"), (6, text[5]), (None, text[0]), (None, text[0]), (8, None), (8, ""))
+    want = [(3, text[0]), (3, text[1]), (4, text[2]), (4, text[3]), (5, text[4]), (6, text[5]), docs.collect()[8][:2], (None, text[0]), (None, text[0]), (8, None), (8, "")]
+    assert left(corpus_pipeline.near_duplicate_stage(spark, docs, tables)) == sorted(want, key=str)
