@@ -56,13 +56,25 @@ def q10_asset_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t8_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with one slot each; benchmark items of an even id are its fragments, ids that three divides are known to be missing."""
+    """Documents whose id is that of a benchmark item, with one slot each; items of an even id are its fragments, ids that three divides are known to be missing. t8_compose_all has all documents."""
     docs = read(spark, sf_dir, "documents").select("doc_id").join(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), "doc_id")
+    return _composed(docs, docs.filter("doc_id % 2 = 0"))
+
+
+def t8_compose_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """t8_compose over all documents: those without a fragment, an item of an even id, that are not known to be missing have an unresolved slot."""
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return _composed(docs, items.filter("doc_id % 2 = 0").join(docs, "doc_id", "left_semi"))
+
+
+def _composed(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, error, has_section) of docs with one slot each, of which `items` (doc_id, text) fill some."""
     code = F.concat(F.col("doc_id").cast("string"), F.lit("A"))
     said = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
     base = editorial.editorial_nodes(docs.select("doc_id", F.lit("https://example.org/b").alias("url"), said('<div class="ttypography"><div class="problemTutorial" problemcode="', code, '"></div></div>').alias("html")))
     head = said('<h3><a href="/contest/', F.col("doc_id").cast("string"), '/problem/A">x</a></h3><div class="ttypography"><p>', F.col("text"), "</p></div>")
-    parts = editorial.tutorial_nodes(docs.filter("doc_id % 2 = 0").select("doc_id", code.alias("code"), head.alias("html")))
+    parts = editorial.tutorial_nodes(items.select("doc_id", code.alias("code"), head.alias("html")))
     out = render.rendered(editorial.composed(base, parts, docs.filter("doc_id % 3 = 0").select("doc_id", code.alias("code"))), F.lit("editorial"))
     return out.select("doc_id", "error", F.coalesce(F.contains("html", F.lit("data-problem-code")), F.lit(False)).alias("has_section"))
 
@@ -103,4 +115,4 @@ SQL = {
     "q10_asset_errors": """SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'empty-asset-payload' WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 3 = 2 THEN 'invalid-pdf-magic' END WHEN doc_id % 3 = 0 THEN 'invalid-raster-magic' ELSE 'invalid-raster-media-type' END AS error FROM documents""",
     "t8_compose": "SELECT doc_id, CASE WHEN doc_id % 2 <> 0 AND doc_id % 3 <> 0 THEN 'unresolved-tutorial-slot' END AS error, doc_id % 2 = 0 AS has_section FROM documents JOIN benchmark ON item_id = doc_id",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "p11_document_json")}
+QUERIES = {name: globals()[name] for name in (*SQL, "t8_compose_all", "p11_document_json")}

@@ -159,6 +159,20 @@ def test_composition(spark):
     assert composition(spark, slot("17A"), []) == "unresolved-tutorial-slot"
 
 
+def test_composition_of_all_documents(spark, tmp_path):
+    from kilnwork.plans.lifecycle import t8_compose_all
+
+    spark.range(12).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [0, 1, 2, 3, 40]
+    spark.createDataFrame([(i, f"text {i}") for i in items], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {}
+    for i in range(12):
+        filled = i in items and i % 2 == 0
+        want[i] = (None if filled or i % 3 == 0 else "unresolved-tutorial-slot", filled)
+    rows = t8_compose_all(spark, str(tmp_path)).collect()
+    assert len(rows) == 12 and {r.doc_id: (r.error, r.has_section) for r in rows} == want
+
+
 @pytest.mark.parametrize(
     ("html", "error"),
     [("<p>x</p>", "missing-tutorial-heading"), ("<h3>t</h3>", "missing-tutorial-body"), ('<h3>t</h3><div class="ttypography">x</div>', "missing-problem-heading-link"), ('<h3><a href="/x">t</a></h3><div class="ttypography">x</div>', "invalid-problem-heading-link"), (FRAGMENT.format("B"), "problem-code-mismatch:17B:17A")],
