@@ -8,7 +8,8 @@ every document is no larger a list than the block.
 A search turns every test item into phrases of WINDOW consecutive words (one shorter phrase where an item has fewer). In a
 block a phrase is followed up only if all its terms are there; its lists are then intersected from the rarest term on, each
 list moved back by its term's offset in the phrase, so that what is left are the phrase's first positions. Between documents
-one position stays free, so no phrase spans two. near() finds the places where all terms of a phrase lie within a span.
+one position stays free, so no phrase spans two. With a `spread` the search is by proximity: it finds the places where all words of
+a phrase, each as often as the phrase has it, lie in any order within `spread` times the phrase's length in one document.
 
 Defined results: a null or empty text has no words, an item without words no phrases; equal items are each reported; equal
 rows of documents are rows of the result each; null ids are kept (a null item_id is left out of the list of items); an empty
@@ -29,6 +30,8 @@ from kilnwork.llm.shared import table, written
 from kilnwork.llm.words import blocks, word_hashes, words_by_text
 
 WINDOW = 10
+#: By proximity a phrase's words lie within so many times its length.
+SPREAD = 2
 BLOCK_BYTES = 4 << 20
 #: A search hands out test items in lots of so many words at most (8 bytes a word), whatever the size of the test set.
 LOT_WORDS = 4_000_000
@@ -93,22 +96,34 @@ class Block:
         return starts
 
     def near(self, terms: np.ndarray, span: int) -> np.ndarray:
-        """Positions of the rarest term around which all terms lie within `span` positions of one document, in any order."""
+        """Positions of the rarest term around which all terms, each as often as given, lie within `span` positions of one document, in any order."""
+        terms, need = np.unique(terms, return_counts=True)
         order = np.argsort(self.lists[terms + 1] - self.lists[terms], kind="stable")
         anchor = self.of(terms[order[0]])
-        low = np.maximum(anchor - span + 1, self.begins[np.searchsorted(self.begins, anchor, "right") - 1])
+        doc = np.searchsorted(self.begins, anchor, "right") - 1
+        low, last = np.maximum(anchor - span + 1, self.begins[doc]), self.begins[doc + 1] - 1
+        lists = []
+        for k in order:  # most anchors lack a term in all windows that hold them
+            lists.append((self.of(terms[k]), need[k] - 1))
+            left = self._within(*lists[-1], low, np.minimum(anchor + span, last))
+            anchor, low, last = anchor[left], low[left], last[left]
+            if not len(anchor):
+                return anchor
         found = np.zeros(len(anchor), bool)
-        lists = [self.of(t) for t in terms]
         for shift in range(span):  # windows [start, start + span) that hold the anchor
             start = low + shift
-            inside = (start <= anchor) & (start + span > anchor)
-            end = np.minimum(start + span, self.begins[np.searchsorted(self.begins, anchor, "right")] - 1)
-            for held in lists:
-                at = np.searchsorted(held, start)
-                inside &= (at < len(held)) & (held[np.minimum(at, len(held) - 1)] < end)
+            inside = start <= anchor
+            for held, more in lists:
+                inside &= self._within(held, more, start, np.minimum(start + span, last))
             found |= inside
         return anchor[found]
 
+    @staticmethod
+    def _within(held: np.ndarray, more: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether a list has more + 1 positions in [start, end)."""
+        at = np.searchsorted(held, start) + more
+        return (at < len(held)) & (held[np.minimum(at, len(held) - 1)] < end)
+
 
 def phrases(items: list[tuple[object, bytes]], window: int = WINDOW) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By phrase length: the phrases of (item_id, text) as rows of term hashes, and the ordinal of the item that each is of."""
@@ -121,13 +136,13 @@ def phrases(items: list[tuple[object, bytes]], window: int = WINDOW) -> dict[int
     return {w: (np.concatenate([x[0] for x in v]), np.concatenate([x[1] for x in v])) for w, v in out.items()}
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, hits: array of (item_id, start, words)) for every document of the index: where phrases of the items occur.
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, spread: int | None = None) -> DataFrame:
+    """(doc_id, n_words, hits: array of (item_id, start, words)) for every document of the index: where phrases of the items occur; by proximity, the places of near(), one word each.
 
     Items go to the executors in lots of at most LOT_WORDS words, so no more than 32 MB are sent out at once; each lot reads
     the index anew and the hits of all lots are put together by block and document.
     """
-    parts = [_search_lot(index, lot, window) for lot in _lots(items)]
+    parts = [_search_lot(index, lot, window, spread) for lot in _lots(items)]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -149,7 +164,7 @@ def _lots(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
         yield held
 
 
-def _search_lot(index: DataFrame, items: list[tuple[object, bytes]], window: int) -> DataFrame:
+def _search_lot(index: DataFrame, items: list[tuple[object, bytes]], window: int, spread: int | None) -> DataFrame:
     asked = index.sparkSession.sparkContext.broadcast((phrases(items, window), [x[0] for x in items]))
     hit = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64())])
 
@@ -163,9 +178,9 @@ def _search_lot(index: DataFrame, items: list[tuple[object, bytes]], window: int
                 for width, (rows, owner) in by_width.items():
                     terms = block.find(rows)
                     for k in np.flatnonzero((terms >= 0).all(1)):
-                        for start in block.phrase(terms[k]):
+                        for start in block.near(terms[k], width * spread) if spread else block.phrase(terms[k]):
                             doc = int(np.searchsorted(block.begins, start, "right")) - 1
-                            hits[doc].append({"item_id": ids[owner[k]], "start": int(start - block.begins[doc]), "words": width})
+                            hits[doc].append({"item_id": ids[owner[k]], "start": int(start - block.begins[doc]), "words": 1 if spread else width})
                 counts = np.diff(block.begins) - 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(block.doc_ids, mask=block.nulls), pa.array([f"{name}:{k}" for k in range(n)], pa.string()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(hit))],
@@ -196,6 +211,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def proximate(docs: DataFrame, items: DataFrame, window: int = WINDOW, spread: int = SPREAD) -> DataFrame:
+    """(doc_id, n_words, n_near, items) of every document, through a stored index: n_near places of the rarest word of a phrase whose words lie near each other."""
+    return covered(search(written(build_index(docs)), items, window, spread)).drop("hits").withColumnRenamed("n_hit", "n_near")
+
+
+def op3_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = proximate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_near", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_near") > 0).alias("near"))
+
+
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 OP3_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),

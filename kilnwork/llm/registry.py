@@ -5,7 +5,7 @@ from kilnwork.llm.forest_join import OP9_SQL, op9_jaccard_join
 from kilnwork.llm.language import op5_language
 from kilnwork.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kilnwork.llm.mixing import op8_mixing
-from kilnwork.llm.positional import OP3_SQL, op3_decontamination
+from kilnwork.llm.positional import OP3_SQL, op3_decontamination, op3_proximity
 from kilnwork.llm.quality import op2_quality
 from kilnwork.llm.secrets import op7_secrets
 from kilnwork.llm.token_shards import op6_token_output
@@ -15,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_decontamination": op3_decontamination,
+    "op3_proximity": op3_proximity,
     "op4_line_dedup": op4_line_dedup,
     "op5_language": op5_language,
     "op6_token_output": op6_token_output,

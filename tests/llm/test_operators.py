@@ -168,6 +168,29 @@ def test_proximity():
     assert docs(5) == {0, 1} and docs(3) == {1} and docs(2) == set()
 
 
+def test_proximity_over_the_index(spark, monkeypatch):
+    rng = random.Random(3)
+    item = [f"k{k}" for k in range(9)] + ["k0"]
+    gaps = [x for w in item for x in (w, "and")]
+    rows = [(0, " ".join(item)), (1, " ".join(item[::-1])), (2, " ".join(gaps)), (3, " ".join(item[:-1])), (4, " ".join(item[:5] + ["x"] * 11 + item[5:])), (None, " ".join(["y"] * 9 + item)), (6, None)]
+    rows += [(10 + k, " ".join(rng.choice(item + ["z"]) for _ in range(60))) for k in range(30)]
+    bench = [(1, " ".join(item)), (2, "z k1"), (3, None)]
+
+    def oracle(text):
+        w, out = words(text), set()
+        for i, t in bench:
+            need = Counter(words(t))
+            if need and any(not need - Counter(w[a : a + 2 * sum(need.values())]) for a in range(len(w))):
+                out.add(str(i))
+        return sorted(out)
+
+    monkeypatch.setattr(positional, "LOT_WORDS", 8)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    out = {r.doc_id: r for r in positional.proximate(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    assert {i: r["items"] for i, r in out.items()} == {i: oracle(t) for i, t in rows}
+    assert [out[k].n_near > 0 for k in (0, 1, 2, 3, 4, None, 6)] == [True, True, True, False, False, True, False]
+
+
 # 6 tokens
 
 
