@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash labels of a fixed prefix (banding), with exact verification.
 
 Texts are sets of SHINGLE-word shingles. Equal sets make one class with a representative (its smallest row, see numbered());
-classes, not documents, are compared. Each of TREES trees gives a class a label of DEPTH min-hashes, 16 bits each, packed so that the order of
-labels is the order of the tree's prefix trie: classes that share a prefix of r hashes lie next to each other. The matched prefix
-is shortened from DEPTH on until a pair at the threshold shares one in some tree with a probability of RECALL.
+classes, not documents, are compared. Each of TREES trees gives a class a label of DEPTH min-hashes, 16 bits each, of which
+those that agree in a prefix are candidates. The prefix has the same length in all trees whatever the data: the longest, from DEPTH
+down, that a pair at the threshold shares in some tree with a probability of RECALL (4 at 0.8); the other hashes serve the filter below.
 
 A tree's node with many classes is cut into blocks, and pairs of blocks are looked at by tasks of their own. Tasks give no pairs
-out: pairs whose signatures agree on fewer than half of all hashes, or whose sizes alone rule the threshold out, are let go (at a similarity of
-0.8 the chance is below 1e-9), and the others' spanning forest joins candidates to groups. In a group all pairs of classes are
+out: pairs whose signatures agree on fewer hashes than least_agreement() says, or whose sizes alone rule the threshold out, are let go
+(at the threshold the chance is below 1e-9), and the others' spanning forest joins candidates to groups. In a group all pairs of classes are
 compared by their whole shingle sets, in blocks again; each class gets the number of documents that it is linked to, and the
 verified links' spanning forests give the final classes.
 
@@ -19,6 +19,7 @@ no rows; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,16 @@ def depth_for(threshold: float = THRESHOLD, recall: float = RECALL, trees: int =
     return depth
 
 
+def least_agreement(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The most hashes, half of all at most, that a pair at the threshold fails to agree on with a probability below 1e-9 or, if less, half of 1 - recall."""
+    n, total = TREES * DEPTH, 0.0
+    for k in range(n // 2):
+        total += comb(n, k) * threshold**k * (1 - threshold) ** (n - k)
+        if total > min(1e-9, (1 - recall) / 2):
+            return k
+    return n // 2
+
+
 def _minhash(sets: list[np.ndarray]) -> np.ndarray:
     """Rows of TREES * DEPTH min-hashes, 16 bits each; sets must not be empty."""
     firsts = np.cumsum([0] + [len(x) for x in sets[:-1]])
@@ -114,8 +125,9 @@ def _edges_of(reps: np.ndarray, pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(reps[at[:, 0]], pa.int64()), "b": pa.array(reps[at[:, 1]], pa.int64())})
 
 
-def candidate_edges(classes: DataFrame, depth: int, threshold: float = THRESHOLD) -> DataFrame:
+def candidate_edges(classes: DataFrame, depth: int, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(a, b): spanning forests of the pairs of classes that share a prefix of `depth` hashes in a tree and may reach the threshold."""
+    least = least_agreement(threshold, recall)
     labels = written(tree_labels(classes, depth))
     shared = labels.groupBy("tree", "label").agg(F.count("*").alias("members")).filter("members > 1")
     members = labels.join(shared, ["tree", "label"]).join(classes.select("rep", "size", "signature"), "rep")
@@ -129,7 +141,7 @@ def candidate_edges(classes: DataFrame, depth: int, threshold: float = THRESHOLD
         for x in np.flatnonzero(mine == i):
             later = np.flatnonzero((mine == j) & ((np.arange(len(reps)) > x) if i == j else True) & (np.minimum(size, size[x]) >= threshold * np.maximum(size, size[x])))
             if len(later):
-                near = later[(signature[later] == signature[x]).sum(1) * 2 >= signature.shape[1]]
+                near = later[(signature[later] == signature[x]).sum(1) >= least]
                 edges += forest.link(np.full(len(near), x), near)
         return _edges_of(reps, edges)
 
@@ -184,7 +196,7 @@ def row_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = R
     classes = written(
         sketches.filter("k1 IS NOT NULL").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
     )
-    groups = components(candidate_edges(classes, depth_for(threshold, recall), threshold)).select(F.col("node").alias("rep"), F.col("component").alias("team"))
+    groups = components(candidate_edges(classes, depth_for(threshold, recall), threshold, recall)).select(F.col("node").alias("rep"), F.col("component").alias("team"))
     groups = written(groups.join(classes.select("rep", "copies"), "rep"))
     teams = groups.groupBy("team").agg(F.count("*").alias("members"))
 

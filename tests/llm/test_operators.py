@@ -324,6 +324,16 @@ def test_jaccard_join_of_texts_under_one_id(spark):
     assert rows == [(3, 3, 1), (5, 3, 1), (5, 5, 1), (7, 5, 1), (8, 8, 0)]
 
 
+def test_pairs_at_a_lower_threshold_pass_the_filter(spark):
+    rows = []
+    for k in range(40):  # 40 shingles of 60 are common, of 80 in all
+        own = [[f"p{k}x{n}" for n in range(44)] + [f"{c}{k}x{n}" for n in range(20)] for c in "ab"]
+        rows += [(2 * k + n, " ".join(w)) for n, w in enumerate(own)]
+    out = forest_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5, recall=0.9).collect()
+    assert sum(r.n_links for r in out) >= 2 * 32
+    assert forest_join.least_agreement() == 72
+
+
 def test_prefix_depth_meets_the_recall():
     d = forest_join.depth_for()
     assert 1 - (1 - 0.8**d) ** forest_join.TREES >= forest_join.RECALL and (d == forest_join.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** forest_join.TREES < forest_join.RECALL)
