@@ -43,7 +43,7 @@ def localised(nodes: DataFrame, fetched: DataFrame, content_kind: str, known_mis
     url = F.when(kind == "image", F.col("attrs")["src"]).when(kind == "attachment", F.col("attrs")["href"])
     rows = nodes.withColumn("_url", url)
     if known_missing is not None:
-        rows = rows.join(F.broadcast(known_missing.select(F.col("url").alias("_url"), F.lit(True).alias("_gone")).distinct().limit(100_000)), "_url", "left")  # a fixed list of some dozen addresses
+        rows = rows.join(known_missing.select(F.col("url").alias("_url")).distinct().withColumn("_gone", F.lit(True)), "_url", "left")
     else:
         rows = rows.withColumn("_gone", F.lit(False))
     found = fetched.groupBy("url").agg(F.max("name").alias("_name"), F.max("error").alias("_error")).withColumnRenamed("url", "_url")

@@ -107,3 +107,11 @@ def test_api_states(spark):
     df = spark.createDataFrame([("ready", None), ("transient_failure", '{"error":"e1"}'), ("invalid_structure", '{"errors":"e2"}'), ("invalid_structure", "{}"), ("pending", None), ("known_absent", '{"error":"no"}')], "status string, evidence string")
     rows = df.select(receipts.payload_status(F.col("status"), F.col("evidence")).alias("p"), receipts.http_code(F.col("status")).alias("h")).collect()
     assert [(r.p.error, r.h) for r in rows] == [(None, 200), ("e1", 503), ("e2", 500), ("invalid_structure", 500), (None, 202), (None, 200)]
+
+
+def test_every_known_missing_address_counts(spark):
+    missing = spark.range(100_500).select(F.concat(F.lit("https://example.org/"), F.col("id").cast("string"), F.lit(".png")).alias("url"))
+    nodes = missing.select(F.lit(1).cast("long").alias("doc_id"), F.array(F.monotonically_increasing_id().cast("int")).alias("path"), F.lit("image").alias("kind"), F.create_map(F.lit("src"), "url").alias("attrs"), F.lit(None).cast("string").alias("text"))
+    fetched = spark.createDataFrame([], "url string, name string, error string")
+    out, errors = assets.localised(nodes, fetched, "statement", missing)
+    assert out.filter("kind = 'missing_asset'").count() == 100_500 and errors.count() == 0
