@@ -2,9 +2,11 @@
 
 A store is a set of Parquet tables:
 
-- refs (h1, h2, doc_id): one row for each long line key that a document holds, by the key's 128-bit xxh3 hash;
+- refs (h1, h2, doc_id, text_key): one row for each long line key that a document holds, by the key's 128-bit xxh3 hash, with a
+  64-bit hash of the document's text;
 - counts (h1, h2, n_docs, last_doc): the exact reference-count table over refs;
-- filters (shard, filter): for each shard of h1 a cuckoo filter of the keys that min_docs documents or more hold.
+- filters (shard, filter): for each shard of h1 a cuckoo filter of the keys that min_docs documents or more hold. When the shards
+  hold more than twice SHARD_KEYS keys each, all are laid out anew from the counts, in more shards.
 
 insert() adds documents, delete() takes documents out again; both bring counts up to date from the rows that change, and put
 keys into or take them out of the filters as they cross the threshold. After a deletion the store equals one that never held the
@@ -35,7 +37,7 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys that a shard's filter is first laid out for, and the parts that the references of a shard are dealt in.
 SHARD_KEYS, SALTS = 50_000, 16
 _SPACE = b" \t\n\x0b\x0c\r"
-_REFS = "h1 long, h2 long, doc_id long"
+_REFS = "h1 long, h2 long, doc_id long, text_key long"
 
 
 def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -56,14 +58,14 @@ def _refs_of(min_chars: int):
                 digests += found
                 owners += [row] * len(found)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), batch.column("doc_id").take(pa.array(owners, pa.int64()))], ["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1]), *batch.select(["doc_id", "text_key"]).take(pa.array(owners, pa.int64()))], ["h1", "h2", "doc_id", "text_key"])
 
     return scan
 
 
 def references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id) for each distinct long line key of each document."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_refs_of(min_chars), _REFS)
+    """(h1, h2, doc_id, text_key) for each distinct long line key of each document."""
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key")).mapInArrow(_refs_of(min_chars), _REFS)
 
 
 def _counted(refs: DataFrame) -> DataFrame:
@@ -84,11 +86,13 @@ class LineStore:
         refs = written(references(docs, min_chars))
         counts = written(_counted(refs))
         repeated = counts.filter(F.col("n_docs") >= min_docs)
-        shards = max(1, -(-repeated.count() // SHARD_KEYS))
-        empty = docs.sparkSession.createDataFrame([], "shard int, filter binary")
-        store = cls(refs, counts, empty, shards, min_docs, min_chars)
-        store.filters = store._refiltered(repeated.select("h1", "h2", F.lit(1).alias("sign")))
-        return store
+        return cls(refs, counts, None, max(1, -(-repeated.count() // SHARD_KEYS)), min_docs, min_chars)._laid_out()
+
+    def _laid_out(self) -> LineStore:
+        """With all filters made from the exact counts."""
+        self.filters = self.counts.sparkSession.createDataFrame([], "shard int, filter binary")
+        self.filters = self._refiltered(self.counts.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2", F.lit(1).alias("sign")))
+        return self
 
     def _shard(self) -> F.Column:
         return F.pmod("h1", F.lit(self.shards)).cast("int")
@@ -114,9 +118,11 @@ class LineStore:
         now = touched.join(fresh, ["h1", "h2"], "left").join(old, ["h1", "h2"], "left")
         is_in, was_in = F.coalesce("n_docs", F.lit(0)) >= self.min_docs, F.coalesce("was", F.lit(0)) >= self.min_docs
         changes = now.filter(is_in != was_in).select("h1", "h2", F.when(is_in, 1).otherwise(-1).alias("sign"))
-        filters = self._refiltered(changes)
         counts = written(self.counts.join(touched, ["h1", "h2"], "left_anti").unionByName(fresh))
-        return LineStore(self.refs, counts, filters, self.shards, self.min_docs, self.min_chars)
+        repeated = counts.filter(F.col("n_docs") >= self.min_docs).count()
+        if repeated > 2 * SHARD_KEYS * self.shards:
+            return LineStore(self.refs, counts, None, -(-repeated // SHARD_KEYS), self.min_docs, self.min_chars)._laid_out()
+        return LineStore(self.refs, counts, self._refiltered(changes), self.shards, self.min_docs, self.min_chars)
 
     def insert(self, docs: DataFrame) -> LineStore:
         """The store with these documents added."""
@@ -133,7 +139,7 @@ class LineStore:
         """The store without the documents whose doc_id is in `ids`."""
         gone = ids.select(F.col("doc_id").cast("long")).distinct()
         touched = written(self.refs.join(gone, "doc_id", "left_semi").select("h1", "h2").distinct())
-        refs = written(self.refs.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id"))
+        refs = written(self.refs.join(gone, "doc_id", "left_anti").select("h1", "h2", "doc_id", "text_key"))
         fresh = written(_counted(refs.join(touched, ["h1", "h2"], "left_semi")))
         store = self._moved(fresh, touched)
         store.refs = refs
@@ -144,26 +150,26 @@ class LineStore:
 
         def ask(_, held: pa.Table, rows: pa.Table) -> pa.Table:
             if not held.num_rows or not rows.num_rows:
-                return rows.select(["h1", "h2", "doc_id"]).slice(0, 0)
+                return rows.select(["h1", "h2", "doc_id", "text_key"]).slice(0, 0)
             hit = Cuckoo.from_bytes(held.column("filter")[0].as_py()).contains(rows.column("h2").to_numpy())
-            return rows.select(["h1", "h2", "doc_id"]).filter(pa.array(hit))
+            return rows.select(["h1", "h2", "doc_id", "text_key"]).filter(pa.array(hit))
 
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         filters = self.filters.withColumn("salt", salts).groupBy("shard", "salt")
-        salted = refs.withColumns({"shard": self._shard(), "salt": F.pmod(F.xxhash64("doc_id", "h2"), F.lit(SALTS)).cast("int")}).groupBy("shard", "salt")
+        salted = refs.withColumns({"shard": self._shard(), "salt": F.pmod(F.xxhash64("doc_id", "text_key", "h2"), F.lit(SALTS)).cast("int")}).groupBy("shard", "salt")
         return filters.cogroup(salted).applyInArrow(ask, _REFS)
 
     def drops(self, refs: DataFrame) -> DataFrame:
-        """(doc_id, drop): the keys, as 16-byte digests, that each document loses. Documents that lose none are left out."""
+        """(doc_id, text_key, drop): the keys that each document loses. Documents that lose none are left out; rows of one id meet only where their texts are equal."""
         exact = self.counts.filter(F.col("n_docs") >= self.min_docs)
         lost = self.probe(refs).join(exact, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
-        return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+        return lost.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
     def apply(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
         """(doc_id, text, n_lines, n_dropped) with the kept text. refs: those of docs, where they are at hand."""
-        drops = self.drops(references(docs, self.min_chars) if refs is None else refs).withColumnRenamed("doc_id", "drop_id")
-        rows = docs.select(F.col("doc_id").cast("long"), "text")
-        both = rows.join(drops, rows["doc_id"].eqNullSafe(drops["drop_id"]), "left").select("doc_id", "text", "drop")
+        drops = self.drops(references(docs, self.min_chars) if refs is None else refs).withColumnsRenamed({"doc_id": "drop_id", "text_key": "drop_key"})
+        rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_key"))
+        both = rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("text_key") == F.col("drop_key")), "left").select("doc_id", "text", "drop")
         min_chars = self.min_chars
 
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,12 +195,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 OP4_SQL = f"""
-WITH raw AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
-lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM raw),
+WITH raw AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT r, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM raw),
 keyed AS (SELECT *, translate(trim(line, {_WS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
-counts AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= {MIN_CHARS} GROUP BY key),
-kept AS (SELECT k.*, (c.n IS NULL OR c.n < {MIN_DOCS} OR c.last_doc = k.doc_id) AS stays FROM keyed k LEFT JOIN counts c ON k.key = c.key AND length(k.key) >= {MIN_CHARS})
+counts AS (SELECT key, count(DISTINCT r) AS n, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= {MIN_CHARS} GROUP BY key),
+kept AS (SELECT k.*, (c.n IS NULL OR c.n < {MIN_DOCS} OR c.last_doc IS NOT DISTINCT FROM k.doc_id) AS stays
+         FROM keyed k LEFT JOIN counts c ON k.key = c.key AND length(k.key) >= {MIN_CHARS})
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE NOT stays)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays), '')) AS kept_sha256
-FROM kept GROUP BY doc_id
+FROM kept GROUP BY r, doc_id
 """

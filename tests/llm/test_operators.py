@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kilnwork.llm import cover_tree, forest_join, language, line_dedup, mixing, mph, positional, quality, secrets, token_shards, toxicity
 from kilnwork.llm.components import components
@@ -121,6 +122,41 @@ def test_cuckoo_holds_what_it_was_given():
     assert again.contains(keys[1000:2000]).all() and again.contains(keys[:1000]).mean() < 0.02
 
 
+def test_cuckoo_denies_no_remaining_key_after_growth_and_deletion():
+    keys = np.random.default_rng(7).integers(0, 2**63, 60_000)
+    c = Cuckoo(1000)
+    for part in np.array_split(keys, 5):
+        c.insert(part)
+    c.delete(keys[::2])
+    assert c.contains(keys[1::2]).all() and c.contains(keys[::2]).mean() < 0.001
+    same = Cuckoo(100)  # one fingerprint more often than two buckets hold
+    same.insert(np.full(30, 7))
+    same.delete(np.full(29, 7))
+    assert same.contains(np.array([7])).all()
+    same.delete(np.array([7]))
+    assert not same.contains(np.array([7])).any()
+
+
+def test_line_dedup_lays_out_more_shards(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+    lines = [f"line number {k} that many of the documents hold, all in full" for k in range(12)]
+    rows = [(i, "\n".join(lines if i > 4 else lines[:2])) for i in range(12)]
+    store = line_dedup.LineStore.create(frame(spark, rows[:5]))
+    assert store.shards == 1
+    store = store.insert(frame(spark, rows[5:]))
+    assert store.shards == 6
+    out = got(store.apply(frame(spark, rows)))
+    assert {i: (r["n_lines"], r["n_dropped"], r["text"]) for i, r in out.items()} == line_oracle(rows)
+
+
+def test_line_dedup_of_null_and_repeated_ids(spark):
+    line = "a line of more than forty characters, held by several rows"
+    rows = [(None, line + "\nx"), (None, line), (None, line), (4, line + "\ny"), (4, line), (2, line)]
+    out = line_dedup.LineStore.create(df := frame(spark, [(i if i is not None else -1, t) for i, t in rows]).withColumn("doc_id", F.expr("nullif(doc_id, -1)"))).apply(df)
+    kept = sorted(((r.doc_id, r.text, r.n_dropped) for r in out.collect()), key=str)
+    assert kept == sorted([(None, "x", 1), (None, "", 1), (None, "", 1), (4, line + "\ny", 0), (4, line, 0), (2, "", 1)], key=str)
+
+
 # 3 decontamination
 
 
