@@ -384,32 +384,68 @@ def test_components(spark):
 # 10 embeddings
 
 
-def test_cover_tree_pairs(spark):
-    rng = np.random.default_rng(5)
-    centre = rng.normal(size=(12, 16))
-    x = np.concatenate([centre[rng.integers(12, size=250)] + rng.normal(size=(250, 16)) * 0.15, rng.normal(size=(50, 16))]).astype(np.float32)
+def vectors(clusters=12, n=250, noise=0.15, seed=5):
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(clusters, 16))
+    x = np.concatenate([centre[rng.integers(clusters, size=n)] + rng.normal(size=(n, 16)) * noise, rng.normal(size=(50, 16))]).astype(np.float32)
     x[10] = x[11] = x[12]
-    rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
-    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0), (904, x[10].tolist(), None), (905, [], 1), (906, (x[12] * 3).tolist(), 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    out = got(cover_tree.near_duplicates(df, block=64), "vec_id")
+    return x
+
+
+def vector_oracle(rows):
     usable = {i: (np.array(v, float), lab) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     cosine = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
-    want = class_oracle(usable, lambda a, b: a[1] == b[1] and cosine(a[0], b[0]) >= 0.93)
+    return class_oracle(usable, lambda a, b: a[1] == b[1] and len(a[0]) == len(b[0]) and cosine(a[0], b[0]) >= 0.93)
+
+
+@pytest.mark.parametrize("noise", [0.15, 0.02])
+def test_cover_tree_pairs(spark, noise):
+    x = vectors(noise=noise)
+    rows = [(i, v.tolist(), int(i % 2)) for i, v in enumerate(x)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 0), (903, [1.0, None] + [0.0] * 14, 0), (904, x[10].tolist(), None)]
+    rows += [(905, [], 1), (906, (x[12] * 3).tolist(), 0), (907, [1.0, 2.0], 0), (908, [2.0, 4.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    out = got(cover_tree.near_duplicates(df, block=32, cell=24), "vec_id")
+    want = vector_oracle(rows)
     for i, r in out.items():
         assert (r["component_id"], r["n_links"]) == want.get(i, (i, 0)), i
     assert len(out) == len(rows)
 
 
+def test_cells_rule_out_and_lose_nothing(spark):
+    """Vectors in tight groups far apart: few visits, and links across the cells' borders are there."""
+    x = vectors(clusters=30, n=400, noise=0.05)
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "rep long, embedding array<double>, label int")
+    classes = df.selectExpr("rep", "embedding", "'1' AS label_key", "size(embedding) AS dims", "1L AS copies")
+    centres = cover_tree._centres(classes, 24, 1 << 20)
+    placed = cover_tree._placed(classes, centres, 0.93)
+    n_cells = len(next(iter(centres.values())))
+    visits = placed.selectExpr("sum(size(visits))").first()[0]
+    assert n_cells > 8 and visits < 0.25 * len(x) * n_cells / 2
+
+
+def test_vectors_of_odd_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    df = spark.createDataFrame([(1, a, 0, 9), (1, b, 0, 9), (2, b, 0, 9), (None, a, 0, 9), (3, [1.0, 0.01, 0.0], 0, 9), (4, a, 1, 9)], "vec_id long, embedding array<float>, label int, rep int")
+    rows = sorted(((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_duplicates(df).collect()), key=str)
+    assert rows == sorted([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4), (None, 0, None)], key=str)
+    assert cover_tree.near_duplicates(df.limit(0)).count() == 0
+
+
 def test_cover_tree_bounds():
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(300, 8))
+    x = vectors(n=400).astype(float)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    t = cover_tree.CoverTree(x)
-    for level, centres in enumerate(t.centres):
-        d = np.linalg.norm(x - x[centres[t.owner[level]]], axis=1)
-        assert (d <= t.reach[level][t.owner[level]] + 1e-12).all()
-        assert set(t.centres[max(0, level - 1)]) <= set(centres)  # nested
+    t = cover_tree.CoverTree(x, leaf=4)
+    assert sorted(t.order) == list(range(len(x)))
+    for k, kids in enumerate(t.kids):
+        rows = t.rows(k)
+        assert (np.linalg.norm(x[rows] - x[t.centre[k]], axis=1) <= t.reach[k] + 1e-12).all()
+        if kids:
+            half = t.level[kids[0]]
+            assert t.centre[k] in [t.centre[c] for c in kids] and half <= t.level[k] / 2 + 1e-12  # nested, halving
+            assert sorted(t.order[t.first[k] : t.last[k]]) == sorted(np.concatenate([t.rows(c) for c in kids]))
+            apart = [np.linalg.norm(x[t.centre[c]] - x[t.centre[d]]) for c in kids for d in kids if c < d]
+            assert min(apart, default=9) > half - 1e-9
 
 
 # learned operators
