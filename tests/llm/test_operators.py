@@ -370,9 +370,81 @@ def test_pairs_at_a_lower_threshold_pass_the_filter(spark):
     assert forest_join.least_agreement() == 72
 
 
-def test_prefix_depth_meets_the_recall():
-    d = forest_join.depth_for()
-    assert 1 - (1 - 0.8**d) ** forest_join.TREES >= forest_join.RECALL and (d == forest_join.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** forest_join.TREES < forest_join.RECALL)
+def test_walks_meet_the_recall():
+    for similarity in (0.5, 0.8, 0.857, 0.95):
+        for recall in (0.9, 0.99, 0.99999):
+            level, n = forest_join.walk(similarity, recall)
+            found = lambda at, k: 1 - (1 - similarity**at) ** k * (1 - similarity ** min(at + 1, forest_join.DEPTH)) ** (forest_join.TREES - k)
+            assert found(level, n) >= recall or (level, n) == (1, forest_join.TREES)
+            assert n == 1 or found(level, n - 1) < recall  # shortened no more than needed
+    assert forest_join.walk(0.8)[0] == forest_join.shallowest() and forest_join.walk(0.95)[0] > forest_join.shallowest()
+
+
+def test_least_similarity():
+    for size in range(1, 40):
+        pairs = [c / (size + m - c) for m in range(1, 90) for c in range(1, min(size, m) + 1) if not c == size == m]
+        assert forest_join.least_similarity(size) == pytest.approx(min([x for x in pairs if x >= 0.8 - 1e-12], default=1.0))
+
+
+def signatures(rng, n, groups):
+    """Random signatures, and groups of (members, chance that a hash is the group's)."""
+    wide = forest_join.TREES * forest_join.DEPTH
+    out = [rng.integers(0, 1 << 16, (n, wide))]
+    for members, same in groups:
+        base = rng.integers(0, 1 << 16, wide)
+        out.append(np.where(rng.random((members, wide)) < same, base, rng.integers(0, 1 << 16, (members, wide))))
+    return np.concatenate(out).astype(np.uint16)
+
+
+def test_walks_stop_at_different_depths(spark, monkeypatch):
+    monkeypatch.setattr(forest_join, "NODE_BLOCK", 8)
+    rng = np.random.default_rng(1)
+    signs = signatures(rng, 300, [(60, 0.95), (2, 0.97), (2, 0.97)])
+    sizes = [100] * 360 + [100, 100, 7, 7]
+    rows = [(k, s.tobytes(), n) for k, (s, n) in enumerate(zip(signs, sizes, strict=True))]
+    classes = spark.createDataFrame([(k, bytearray(s), n) for k, s, n in rows], "rep long, signature binary, size int").repartition(3)
+    out = defaultdict(dict)
+    for r in forest_join.stops(classes).collect():
+        assert bytes(r.label) == signs[r.rep].reshape(forest_join.TREES, -1)[r.tree].astype(">u2").tobytes()
+        out[r.rep][r.tree] = r.depth
+    assert not set(out) & set(range(300))  # nobody shares a prefix with them
+    level, n = forest_join.walk(0.8)
+    for k in range(300, 362):
+        assert set(out[k].values()) <= {level, level + 1} and sum(d == level for d in out[k].values()) <= n
+    assert len({frozenset(t for t, d in out[k].items() if d == level) for k in range(300, 360)}) > 10  # each its own trees
+    sooner, many = forest_join.walk(forest_join.least_similarity(7))
+    assert set(out[362].values()) <= {sooner, sooner + 1} and (sooner, -many) > (level, -n)  # few shingles: it stops earlier
+
+
+def test_labels_that_meet_nobody_leave(spark):
+    rng = np.random.default_rng(3)
+    signs = signatures(rng, 500, [(3, 1.0)] * 20)
+    classes = spark.createDataFrame([(k, bytearray(s.tobytes()), 50) for k, s in enumerate(signs)], "rep long, signature binary, size int").repartition(5)
+    left = forest_join.tries(classes, 4).groupBy("rep").count().collect()
+    assert {r.rep for r in left if r["count"] == forest_join.TREES} >= set(range(500, 560))  # across the partitions' borders too
+    assert sum(r["count"] for r in left if r.rep < 500) <= 2 * 24
+
+
+def test_recall_against_all_pairs(spark):
+    """Pairs at and just above the threshold, among documents that share half of their text, held against all pairs."""
+    rng = random.Random(12)
+    common = [f"c{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        own = [f"d{k}x{n}" for n in range(60)]
+        rows.append((3 * k, " ".join(common + own)))
+        for copy in (1, 2):
+            w = list(own)
+            for _ in range(rng.randint(1, 3)):
+                w[rng.randrange(60)] = f"e{rng.randint(0, 9999)}"
+            rows.append((3 * k + copy, " ".join(common + w)))
+    sets = {i: grams(t) for i, t in rows}
+    linked = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    want = class_oracle(sets, linked)
+    out = got(forest_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")))
+    links = sum(n for _, n in want.values())
+    assert links > 300 and sum(r["n_links"] for r in out.values()) == links
+    assert {i: (r["class_id"], r["n_links"]) for i, r in out.items()} == want
 
 
 def test_components(spark):
