@@ -11,6 +11,11 @@ list moved back by its term's offset in the phrase, so that what is left are the
 one position stays free, so no phrase spans two. With a `spread` the search is by proximity: it finds the places where all words of
 a phrase, each as often as the phrase has it, lie in any order within `spread` times the phrase's length in one document.
 
+How phrases reach the blocks: the words of a test set of at most LOT_WORDS words (8 bytes each) are broadcast, and a task makes the
+phrases itself. A larger test set never passes through the driver: its phrases stay in a table, each finds its rarest term by
+the terms' counts over all blocks, goes to the blocks that hold that term and no others, and a block's phrases are searched in lots of
+about LOT_PHRASES, each a task.
+
 Defined results: a null or empty text has no words, an item without words no phrases; equal items are each reported; equal
 rows of documents are rows of the result each; null ids are kept (a null item_id is left out of the list of items); an empty
 table gives no rows; further columns are not read.
@@ -18,11 +23,11 @@ table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,10 +38,12 @@ WINDOW = 10
 #: By proximity a phrase's words lie within so many times its length.
 SPREAD = 2
 BLOCK_BYTES = 4 << 20
-#: A search hands out test items in lots of so many words at most (8 bytes a word), whatever the size of the test set.
-LOT_WORDS = 4_000_000
+#: The most words of a test set that is broadcast (8 bytes a word), and the phrases in a lot of a larger one.
+LOT_WORDS, LOT_PHRASES = 1_000_000, 1_000_000
 
-_INDEX = "doc_ids binary, nulls binary, begins binary, terms binary, lists binary, positions binary"
+_INDEX = "block long, doc_ids binary, nulls binary, begins binary, terms binary, lists binary, positions binary"
+_HIT = "struct<item_id: long, start: long, words: long>"
+_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64())]))
 
 
 def build_block(data: list[bytes]) -> dict[str, np.ndarray]:
@@ -52,15 +59,17 @@ def build_block(data: list[bytes]) -> dict[str, np.ndarray]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """One row a block of (doc_id, text): the stored postings of all tokens of all documents."""
+    """One row a block of (doc_id, text): its number and the stored postings of all tokens of all documents."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids = batch.column("doc_id")
             for first, data in blocks((x.as_py() for x in batch.column("text")), BLOCK_BYTES):
                 own = ids.slice(first, len(data))
                 block = {"doc_ids": own.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), "nulls": own.is_null().to_numpy(zero_copy_only=False)} | build_block(data)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block.values()], list(block))
+                yield pa.RecordBatch.from_arrays([pa.array([number]), *(pa.array([x.tobytes()], pa.binary()) for x in block.values())], ["block", *block])
+                number += 1
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, _INDEX)
 
@@ -125,69 +134,117 @@ class Block:
         return (at < len(held)) & (held[np.minimum(at, len(held) - 1)] < end)
 
 
-def phrases(items: list[tuple[object, bytes]], window: int = WINDOW) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By phrase length: the phrases of (item_id, text) as rows of term hashes, and the ordinal of the item that each is of."""
+def phrases(words: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By phrase length: the phrases of items, given by their words one after another and where each one's begin, and the ordinal of the item that each is of."""
     out: dict[int, list] = {}
-    for n, (_, data) in enumerate(items):
-        words = word_hashes(data)[0]
-        if width := min(window, len(words)):
-            rows = np.lib.stride_tricks.sliding_window_view(words, width)
+    for n, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+        if width := int(min(window, b - a)):
+            rows = np.lib.stride_tricks.sliding_window_view(words[a:b], width)
             out.setdefault(width, []).append((rows, np.full(len(rows), n)))
     return {w: (np.concatenate([x[0] for x in v]), np.concatenate([x[1] for x in v])) for w, v in out.items()}
 
 
+def hits_in(block: Block, by_width: dict[int, tuple[np.ndarray, np.ndarray]], spread: int | None) -> Iterator[tuple[int, int, int, int]]:
+    """(document's ordinal, item's ordinal, start, words) of all occurrences in a block; by proximity the places of near(), one word each."""
+    for width, (rows, owner) in by_width.items():
+        terms = block.find(rows)
+        for k in np.flatnonzero((terms >= 0).all(1)):
+            for start in block.near(terms[k], width * spread) if spread else block.phrase(terms[k]):
+                doc = int(np.searchsorted(block.begins, start, "right")) - 1
+                yield doc, int(owner[k]), int(start - block.begins[doc]), 1 if spread else width
+
+
 def search(index: DataFrame, items: DataFrame, window: int = WINDOW, spread: int | None = None) -> DataFrame:
-    """(doc_id, n_words, hits: array of (item_id, start, words)) for every document of the index: where phrases of the items occur; by proximity, the places of near(), one word each.
-
-    Items go to the executors in lots of at most LOT_WORDS words, so no more than 32 MB are sent out at once; each lot reads
-    the index anew and the hits of all lots are put together by block and document.
-    """
-    parts = [_search_lot(index, lot, window, spread) for lot in _lots(items)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    if len(parts) > 1:
-        out = out.groupBy("doc_id", "doc_key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
-    return out.drop("doc_key")
-
-
-def _lots(items: DataFrame) -> Iterator[list[tuple[object, bytes]]]:
-    held, words, any_ = [], 0, False
-    for row in items.select("item_id", "text").toLocalIterator(prefetchPartitions=False):
-        data = (row["text"] or "").encode("utf-8", "replace")
-        held.append((row["item_id"], data))
-        words += len(data) // 2 + 1
-        if words >= LOT_WORDS:
-            yield held
-            held, words, any_ = [], 0, True
-    if held or not any_:
-        yield held
-
-
-def _search_lot(index: DataFrame, items: list[tuple[object, bytes]], window: int, spread: int | None) -> DataFrame:
-    asked = index.sparkSession.sparkContext.broadcast((phrases(items, window), [x[0] for x in items]))
-    hit = pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64())])
+    """(doc_id, n_words, hits: array of (item_id, start, words)) for every document of a written index: where phrases of the items occur."""
+    hashed = written(_hashed(items))
+    total = hashed.agg(F.sum("n")).first()[0] or 0
+    return _by_broadcast(index, hashed, window, spread) if total <= LOT_WORDS else _by_rarest(index, hashed, window, spread)
+
+
+def _hashed(items: DataFrame) -> DataFrame:
+    """(item_id, words, n): the words of every item that has any, as hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [word_hashes((x.as_py() or "").encode("utf-8", "replace"))[0] for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array([x.tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())], ["item_id", "words", "n"])
+
+    return items.select(F.col("item_id").cast("long"), "text").mapInArrow(scan, "item_id long, words binary, n long").filter("n > 0")
+
+
+def _by_broadcast(index: DataFrame, hashed: DataFrame, window: int, spread: int | None) -> DataFrame:
+    rows = hashed.select("item_id", "words").collect()  # at most LOT_WORDS words
+    words = np.frombuffer(b"".join(r["words"] for r in rows), np.uint64)
+    starts = np.cumsum([0] + [len(r["words"]) // 8 for r in rows])
+    asked = index.sparkSession.sparkContext.broadcast((words, starts, [r["item_id"] for r in rows]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_width, ids = asked.value
+        words, starts, ids = asked.value
+        by_width = phrases(words, starts, window)
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row)
-                n, name = len(block.doc_ids), hashlib.md5(row["doc_ids"] + row["terms"]).hexdigest()
-                hits: list[list] = [[] for _ in range(n)]
-                for width, (rows, owner) in by_width.items():
-                    terms = block.find(rows)
-                    for k in np.flatnonzero((terms >= 0).all(1)):
-                        for start in block.near(terms[k], width * spread) if spread else block.phrase(terms[k]):
-                            doc = int(np.searchsorted(block.begins, start, "right")) - 1
-                            hits[doc].append({"item_id": ids[owner[k]], "start": int(start - block.begins[doc]), "words": 1 if spread else width})
-                counts = np.diff(block.begins) - 1
+                hits: list[list] = [[] for _ in block.doc_ids]
+                for doc, item, start, n in hits_in(block, by_width, spread):
+                    hits[doc].append({"item_id": ids[item], "start": start, "words": n})
+                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, mask=block.nulls), pa.array(np.diff(block.begins) - 1, pa.int64()), pa.array(hits, _HITS)], ["doc_id", "n_words", "hits"])
+
+    return index.drop("block").mapInArrow(scan, f"doc_id long, n_words long, hits array<{_HIT}>")
+
+
+def _by_rarest(index: DataFrame, hashed: DataFrame, window: int, spread: int | None) -> DataFrame:
+    """The search for test sets of any size, without the driver: each phrase meets the blocks that hold its rarest term."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, data in zip(batch.column("item_id"), batch.column("words"), strict=True):
+                own = np.frombuffer(data.as_py(), np.uint64)
+                rows = np.lib.stride_tricks.sliding_window_view(own, min(window, len(own)))
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(rows), pa.int64()), pa.array(rows.view(np.int64).tolist(), pa.list_(pa.int64()))], ["item_id", "words"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                terms, lists = np.frombuffer(row["terms"], np.int64), np.frombuffer(row["lists"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(np.full(len(terms), row["block"])), pa.array(np.diff(lists))], ["term", "block", "n"])
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                begins, nulls = np.frombuffer(row["begins"], np.int64), np.frombuffer(row["nulls"], bool)
+                n = len(nulls)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.doc_ids, mask=block.nulls), pa.array([f"{name}:{k}" for k in range(n)], pa.string()), pa.array(counts, pa.int64()), pa.array(hits, pa.list_(hit))],
-                    ["doc_id", "doc_key", "n_words", "hits"],
+                    [pa.array(np.full(n, row["block"])), pa.array(np.arange(n)), pa.array(np.frombuffer(row["doc_ids"], np.int64), mask=nulls), pa.array(np.diff(begins) - 1)], ["block", "place", "doc_id", "n_words"]
                 )
 
-    return index.mapInArrow(scan, "doc_id long, doc_key string, n_words long, hits array<struct<item_id: long, start: long, words: long>>")
+    asked = written(hashed.mapInArrow(cut, "item_id long, words array<long>").withColumn("phrase", F.monotonically_increasing_id()))
+    lots = max(1, -(-asked.count() // LOT_PHRASES))
+    wanted = asked.select("phrase", F.explode("words").alias("term")).distinct()
+    held = index.select("block", "terms", "lists").mapInArrow(tell, "term long, block long, n long")
+    held = written(held.join(wanted.select("term").distinct(), "term", "left_semi"))
+    counts = held.groupBy("term").agg(F.sum("n").alias("n"))
+    # a phrase with a term that no block holds occurs nowhere: the left join's null counts as 0 and is taken out
+    rarest = wanted.join(counts, "term", "left").groupBy("phrase").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("least")).filter("least.n > 0")
+    to_ask = rarest.select("phrase", F.col("least.term").alias("term")).join(held.select("term", "block"), "term").join(asked, "phrase")
+    to_ask = written(to_ask.select("block", F.pmod(F.xxhash64("phrase"), F.lit(lots)).alias("lot"), "item_id", "words"))
+    rows = index.join(to_ask.select("block", F.col("lot").alias("lot")).distinct(), "block")
+
+    def look(key, held: pa.Table, lot: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if held.num_rows and lot.num_rows:
+            by_width: dict[int, list] = {}
+            for n, words in enumerate(lot.column("words").to_pylist()):
+                by_width.setdefault(len(words), []).append((words, n))
+            sorted_out = {w: (np.array([x[0] for x in v], np.int64).view(np.uint64), np.array([x[1] for x in v])) for w, v in by_width.items()}
+            ids = lot.column("item_id").to_pylist()
+            out = [(key[0].as_py(), doc, ids[item], start, n) for doc, item, start, n in hits_in(Block(held.to_pylist()[0]), sorted_out, spread)]
+        columns = list(zip(*out, strict=True)) or [()] * 5
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("block", "place", "item_id", "start", "words"), columns, strict=True)})
+
+    hits = rows.groupBy("block", "lot").cogroup(to_ask.groupBy("block", "lot")).applyInArrow(look, "block long, place long, item_id long, start long, words long")
+    hits = hits.groupBy("block", "place").agg(F.collect_list(F.struct("item_id", "start", "words")).alias("hits"))
+    whole = index.select("block", "doc_ids", "nulls", "begins").mapInArrow(documents, "block long, place long, doc_id long, n_words long")
+    return whole.join(hits, ["block", "place"], "left").select("doc_id", "n_words", F.coalesce("hits", F.array().cast(f"array<{_HIT}>")).alias("hits"))
 
 
 def covered(hits: DataFrame) -> DataFrame:

@@ -187,14 +187,30 @@ def test_decontamination(spark):
     assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in out.items()} == hit_oracle(rows, bench)
 
 
-def test_decontamination_in_lots(spark, monkeypatch):
+@pytest.mark.parametrize("lot", [7, 10_000])
+def test_decontamination_by_a_large_test_set(spark, monkeypatch, lot):
     rows = corpus(20)
-    bench = [(k, " ".join(rows[k][1].split()[:12])) for k in range(10)]
+    bench = [(k, " ".join(rows[k][1].split()[:12])) for k in range(10)] + [(50, None), (51, "word"), (52, "nobody knows this")]
     monkeypatch.setattr(positional, "LOT_WORDS", 40)
+    monkeypatch.setattr(positional, "LOT_PHRASES", lot)
+    monkeypatch.setattr(positional, "BLOCK_BYTES", 700)
     out = got(positional.contaminated(frame(spark, rows), spark.createDataFrame(bench, "item_id long, text string")))
     assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in out.items()} == hit_oracle(rows, bench)
 
 
+@pytest.mark.parametrize("words", [0, 10_000])
+def test_decontamination_of_odd_rows(spark, monkeypatch, words):
+    """Equal blocks stay apart, null ids and equal rows are rows each; empty tables give nothing."""
+    monkeypatch.setattr(positional, "LOT_WORDS", words)
+    text = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(None, text), (5, text), (5, text), (None, None)], "doc_id long, text string").repartition(4)
+    items = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "ten")], "item_id long, text string")
+    out = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in positional.contaminated(docs, items).collect()), key=str)
+    assert out == sorted([(None, 11, 11, ["1", "2"]), (5, 11, 11, ["1", "2"]), (5, 11, 11, ["1", "2"]), (None, 0, 0, [])], key=str)
+    assert positional.contaminated(docs.limit(0), items).count() == 0
+    assert {r.n_hit for r in positional.contaminated(docs, items.limit(0)).collect()} == {0}
+
+
 def test_proximity():
     data = [b"a x b y c", b"c b a", b"a b", b"c"]
     b = positional.build_block(data)
