@@ -5,16 +5,21 @@ Layout of a folder (integers are little-endian):
 - shard-PPPPPP-KKKK.bin: 16 bytes (b"TOKS", version 1, bytes an id: 2 or 4, number of ids as a 64-bit integer), then the ids, 2 bytes
   each where the vocabulary has at most 65,536 ids and 4 bytes otherwise. Shards are cut at document ends after SHARD_TOKENS ids;
   in the order of their names they hold the documents in ascending doc_id.
-- directory/ (Parquet): key, copy (0, 1, .. among rows of equal doc_id), doc_id, part, cut (the shard's two numbers), at, n_tokens.
-- index-NNNNNN.mph: the keys whose hash falls in bucket N: a minimal perfect hash, then for each of its places a 32-bit
-  fingerprint, the shard's numbers, the first id and the number of ids. Look-up: bucket, place, fingerprint, one read.
+- directory/ (Parquet): copy (0, 1, .. among rows of equal doc_id), doc_id, part, cut (the shard's two numbers), at, n_tokens.
+- index-NNNNNN.mph: the keys (doc_id, copy) whose hash falls in bucket N: a seed under which the bucket's keys have distinct 64-bit
+  hashes, a minimal perfect hash of those, then for each of its places a 32-bit fingerprint, the shard's numbers, the first id and the
+  number of ids. Look-up: bucket, place, fingerprint, one read.
 
 Tasks write under a name of their own and rename at the end. A task that runs again, after an executor is lost, writes the same
 bytes under the same name.
 
 Texts are cut before a space that follows a printable ASCII or Latin letter. No rule of the tokenizer's splitting pattern joins
 characters across such a place, so the ids of the pieces are the ids of the text; a worker remembers the words that it has encoded.
-Texts with a special token's string are encoded whole.
+Texts with a special token's string are encoded whole, and so is everything where the vocabulary file asks for another splitting or
+for normalising.
+
+Rows are dealt in ranges of (doc_id, hash of the text), so that an id on a third of all rows is many tasks; copies of an id that
+spans several are numbered through by the counts of each range.
 
 Defined results: a null or empty text has the end id alone; equal doc_ids are kept as copies, ordered by their text's hash; a null
 doc_id comes first; an empty table gives an empty folder and no rows; further columns are not read.
@@ -22,6 +27,7 @@ doc_id comes first; an empty table gives an empty folder and no rows; further co
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -42,8 +48,10 @@ from kilnwork.llm.words import mix
 SHARD_TOKENS = 8 << 20
 BUCKET_KEYS = 200_000
 END_ID = 0
-#: Distinct words that a worker remembers (about 130 bytes each).
-REMEMBERED = 1_000_000
+#: Bytes that each of a worker's two memories of words may take.
+REMEMBERED = 24 << 20
+#: What an entry takes besides its text and ids.
+_ENTRY = 200
 _MAGIC = b"TOKS"
 _UNSURE = re.compile(r"[^!-~À-ɏ] |^ ")
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= )")
@@ -62,21 +70,26 @@ def default_tokenizer() -> str:
 
 
 class _Memo(dict):
-    """What `encode` gives, by text; of REMEMBERED texts the older half is let go."""
+    """What `encode` gives, by text. At half of REMEMBERED bytes the newer entries become the older ones, which are let go at the next turn."""
 
     def __init__(self, encode):
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.bytes = encode, {}, 0
 
     def __missing__(self, text: str) -> bytes:
         ids = self.older.get(text)
         if ids is None:
             ids = self.encode(text)
-        if len(self) >= REMEMBERED // 2:
+        if self.bytes >= REMEMBERED // 2:
             self.older = dict(self)
-            self.clear()
+            self.forget()
         self[text] = ids
+        self.bytes += _ENTRY + len(text) + len(ids)
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.bytes = 0
+
 
 class Encoder:
     """Texts to ids through the tokenizers library, with a memory of words."""
@@ -92,6 +105,11 @@ class Encoder:
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.memo, self.runs = _Memo(self._word), _Memo(self._run)
+        spec = json.loads(self.tokenizer.to_str())
+        splits = spec.get("pre_tokenizer") or {}
+        usual = splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
+        model = spec.get("model") or {}
+        self.by_words = bool(usual and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
 
     def _pack(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
@@ -111,7 +129,7 @@ class Encoder:
         return self._pack([t.id for t in self.model.tokenize(letters)])
 
     def one(self, text: str) -> bytes:
-        if self.special and self.special.search(text):
+        if not self.by_words or self.special and self.special.search(text):
             return self.whole(text)
         get = self.memo.__getitem__
         if not _UNSURE.search(text):
@@ -133,7 +151,11 @@ def encoder(path: str) -> Encoder:
 
 
 def _fs(folder: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    """The store that a folder's address names, as pyarrow opens it: a bare path is a mounted folder, s3a and s3n are s3, abfss is abfs."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return pa.fs.FileSystem.from_uri(f"file://{folder}")
+    return pa.fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'abfss': 'abfs'}.get(scheme, scheme)}:{rest}")
 
 
 def _put(folder: str, name: str, parts: list[bytes]) -> None:
@@ -195,9 +217,22 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["copy", "doc_id", "part", "cut", "at", "n_tokens"])
         flush()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    placed = ordered.mapInArrow(scan, "copy int, doc_id long, part int, cut int, at long, n_tokens long")
-    return written(placed.withColumn("key", F.xxhash64("doc_id", "copy")), f"{folder}/directory")
+    _fs(folder)  # an address that pyarrow cannot open fails here, not in the tasks
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_text_key")).repartitionByRange("doc_id", "_text_key").sortWithinPartitions("doc_id", "_text_key")
+    placed = written(ordered.drop("_text_key").mapInArrow(scan, "copy int, doc_id long, part int, cut int, at long, n_tokens long"), f"{folder}/places")
+    return written(_through(placed), f"{folder}/directory")
+
+
+def _through(placed: DataFrame) -> DataFrame:
+    """placed, with the copies of ids that span several ranges numbered through. Such an id is a range's first or last, so there are two a range at most."""
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")
+    ends = placed.groupBy("part").agg(F.array(F.min(key), F.max(key)).alias("ends"))
+    edge = ends.select(F.explode("ends.doc_id").alias("edge")).distinct()
+    counts = placed.join(F.broadcast(edge), F.col("doc_id").eqNullSafe(F.col("edge"))).groupBy("edge", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("edge").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("edge", F.col("part").alias("edge_part"), F.sum("n").over(before).cast("int").alias("base")).filter("base > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("edge")) & (F.col("part") == F.col("edge_part"))
+    return placed.join(F.broadcast(base), same, "left").withColumn("copy", F.col("copy") + F.coalesce("base", F.lit(0))).select(*placed.columns)
 
 
 _PLACE = np.dtype([("print", "<u4"), ("part", "<u4"), ("cut", "<u4"), ("n_tokens", "<u8"), ("at", "<u8")])
@@ -208,36 +243,52 @@ def write_index(directory: DataFrame, folder: str, bucket_keys: int = BUCKET_KEY
     buckets = max(1, -(-directory.count() // bucket_keys))
 
     def build(key, rows):
-        keys = rows.column("key").to_numpy()
-        order = np.argsort(keys)
-        rows, keys = rows.take(pa.array(order)), keys[order].view(np.uint64)
+        rows = rows.sort_by([("doc_id", "ascending"), ("copy", "ascending")])
+        seed, keys = 0, _keys(rows, 0)
+        while len(np.unique(keys)) < len(keys):
+            seed += 1
+            keys = _keys(rows, seed)
         hashed = MinimalPerfectHash.build(keys)
         places = np.zeros(len(keys), _PLACE)
         at = hashed(keys)
         places["print"][at] = _print(keys)
         for name in ("part", "cut", "n_tokens", "at"):
             places[name][at] = rows.column(name).to_numpy()
-        _put(folder, f"index-{key[0].as_py():06d}.mph", [hashed.to_bytes(), places.tobytes()])
+        _put(folder, f"index-{key[0].as_py():06d}.mph", [seed.to_bytes(8, "little"), hashed.to_bytes(), places.tobytes()])
         return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
-    done = directory.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(build, "bucket int, n long")
+    done = directory.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(build, "bucket int, n long")
     written(done, f"{folder}/buckets")
     return buckets
 
 
+def _bucket(buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64("doc_id", "copy"), F.lit(buckets)).cast("int")
+
+
+def _keys(rows: pa.Table, seed: int) -> np.ndarray:
+    """64-bit hashes of (doc_id, copy), a null doc_id being a value of its own."""
+    ids, u = rows.column("doc_id"), np.uint64
+    numbers = ids.fill_null(0).to_numpy().astype(np.int64).view(u)
+    null = ids.is_null().to_numpy().astype(u)
+    with np.errstate(over="ignore"):
+        return mix(mix(numbers + u(seed) * u(0x9E3779B97F4A7C15)) + rows.column("copy").to_numpy().astype(u) * u(0xD1B54A32D192ED03) + null * u(0x8CB92BA72F3D8DD7))
+
+
 def _print(keys: np.ndarray) -> np.ndarray:
     return (mix(keys.astype(np.uint64) + np.uint64(0xF1)) >> np.uint64(32)).astype(np.uint32)
 
 
 class Index:
-    """One bucket of the index. places(keys): where each key's ids are; print 0 and n_tokens 0 for a key that is not there."""
+    """One bucket of the index. places(rows): where the ids of each (doc_id, copy) are; print 0 and n_tokens 0 for one that is not there."""
 
     def __init__(self, data: bytes):
-        self.hashed, at = MinimalPerfectHash.from_bytes(data)
-        self.table = np.frombuffer(data, _PLACE, offset=at)
+        self.seed = int.from_bytes(data[:8], "little")
+        self.hashed, at = MinimalPerfectHash.from_bytes(data[8:])
+        self.table = np.frombuffer(data, _PLACE, offset=8 + at)
 
-    def places(self, keys: np.ndarray) -> np.ndarray:
-        keys = keys.astype(np.int64).view(np.uint64)
+    def places(self, rows: pa.Table) -> np.ndarray:
+        keys = _keys(rows, self.seed)
         at = self.hashed(keys)
         out = self.table[np.maximum(at, 0)].copy() if len(self.table) else np.zeros(len(keys), _PLACE)
         out[(at < 0) | (out["print"] != _print(keys))] = np.zeros(1, _PLACE)
@@ -245,18 +296,18 @@ class Index:
 
 
 def lookup(keys: DataFrame, folder: str, buckets: int) -> DataFrame:
-    """For each row of `keys` with a column key: part, cut, at, n_tokens from the index, null where the key is unknown."""
+    """For each row of `keys` (doc_id, copy): part, cut, at, n_tokens from the index, null where the key is unknown."""
     names = [c for c in keys.columns]
 
     def ask(key, rows):
-        found = Index(_get(folder, f"index-{key[0].as_py():06d}.mph")).places(rows.column("key").to_numpy())
+        found = Index(_get(folder, f"index-{key[0].as_py():06d}.mph")).places(rows)
         none = found["n_tokens"] == 0
         out = {n: rows.column(n) for n in names}
         out |= {n: pa.array(found[n].astype(np.int64), mask=none) for n in ("part", "cut", "at", "n_tokens")}
         return pa.table(out)
 
     schema = ", ".join(f"`{n}` {t}" for n, t in keys.dtypes) + ", part long, cut long, at long, n_tokens long"
-    return keys.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(ask, schema)
+    return keys.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInArrow(ask, schema)
 
 
 def read_back(found: DataFrame, folder: str) -> DataFrame:
@@ -276,7 +327,7 @@ def encoded(docs: DataFrame, path: str | None = None, folder: str | None = None)
     folder = folder or work_dir(docs.sparkSession)
     directory = write_shards(docs, folder, path or default_tokenizer())
     buckets = write_index(directory, folder)
-    back = read_back(lookup(directory.select("doc_id", "copy", "key"), folder, buckets), folder)
+    back = read_back(lookup(directory.select("doc_id", "copy"), folder, buckets), folder)
     sizes = directory.groupBy("part", "cut").agg(F.sum("n_tokens").alias("size"))
     order = Window.orderBy("part", "cut").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.withColumn("base", F.coalesce(F.sum("size").over(order), F.lit(0))).select("part", "cut", "base")

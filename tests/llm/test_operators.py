@@ -264,14 +264,44 @@ def test_tokens_of_copies_and_unknown_keys(spark):
     folder = work_dir(spark)
     directory = token_shards.write_shards(docs, folder, token_shards.default_tokenizer(), shard_tokens=3)
     buckets = token_shards.write_index(directory, folder)
-    found = token_shards.lookup(directory.select("doc_id", "copy", "key"), folder, buckets)
+    found = token_shards.lookup(directory.select("doc_id", "copy"), folder, buckets)
     rows = token_shards.read_back(found, folder).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.copy) for r in rows) == [(False, 1, 0), (False, 1, 1), (False, 2, 0), (True, 0, 0)]
-    unknown = token_shards.lookup(spark.createDataFrame([(12345,)], "key long"), folder, buckets).collect()
-    assert unknown[0].part is None
+    unknown = token_shards.lookup(spark.createDataFrame([(12345, 0), (1, 2), (None, 1)], "doc_id long, copy int"), folder, buckets).collect()
+    assert [r.part for r in unknown] == [None] * 3
     assert token_shards.encoded(frame(spark, [])).count() == 0
 
 
+def test_tokens_of_an_id_on_many_rows(spark):
+    """Ids that span several ranges: every copy has a number and a place of its own."""
+    rng = random.Random(2)
+    rows = [(7 if k % 2 else None if k % 3 else k, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 9)))) for k in range(400)]
+    out = token_shards.encoded(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len({(r.doc_id, r.copy) for r in out}) == len({r.start for r in out}) == len(rows)
+    assert max(r.copy for r in out if r.doc_id == 7) == sum(i == 7 for i, _ in rows) - 1
+    tk = token_shards.encoder(token_shards.default_tokenizer()).tokenizer
+    crc = lambda t: zlib.crc32(np.array(tk.encode(t, add_special_tokens=False).ids + [0], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in out) == Counter((i, crc(t)) for i, t in rows)
+
+
+def test_words_are_forgotten_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_shards, "REMEMBERED", 4000)
+    memo = token_shards._Memo(lambda x: x.encode() * 2)
+    assert [memo[f"w{k % 50}"] for k in range(500)] == [f"w{k % 50}".encode() * 2 for k in range(500)]
+    assert len(memo) + len(memo.older) <= 22
+
+
+def test_other_splittings_are_encoded_whole(tmp_path):
+    import json
+
+    spec = json.load(open(token_shards.default_tokenizer()))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    own = token_shards.Encoder(str(tmp_path / "t.json"))
+    assert not own.by_words and own.one("two words") == own.whole("two words")
+    assert token_shards.encoder(token_shards.default_tokenizer()).by_words
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(2).integers(0, 2**63, 5000)).astype(np.uint64)
     h = mph.MinimalPerfectHash.build(keys)
