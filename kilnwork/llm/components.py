@@ -2,7 +2,7 @@
 
 Each round hangs every node's larger neighbours on its smallest neighbour, then every node's smaller ones; the number of rounds
 grows with the logarithm of the number of nodes. Edges stay in tables: every round is written to the shared folder, and only a
-count and a checksum of them reach the driver.
+count and a checksum of them reach the driver. A round's tables are deleted when the next one's are written.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnwork.llm.shared import written
+from kilnwork.llm.shared import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("x"), F.col("m"), "u")
         # the smallest neighbour takes the node itself and its other smaller neighbours
-        edges = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        last, edges = edges, written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        forget(last, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -7,10 +7,14 @@ the water is the largest of (total - caps so far) / (weights left), so one windo
 A source whose target is r times its size gives every document floor(r) times, and once more the documents that come first in a
 seeded order until the rest of the target is met; up to CLOSERS more documents, each the one whose size is nearest to what is
 still missing, close the gap. Only (source, size, hash) is ever ordered: totals of hash ranges find the range where the cut falls, and a
-window orders the documents of that range alone, so that a source with most of the rows is never in one task.
+window orders the documents of that range alone, so that a source with most of the rows is never in one task. There are so many ranges
+that one holds about RANGE_ROWS rows of the largest source.
+
+Equal hashes are told apart by a copy number, counted within each partition of the rows and on from partition to partition; which of
+some equal rows has which number is open, but the numbers themselves, and with them the result, do not depend on the partitions.
 
 Defined results: null and empty texts have size 0 and are taken 0 times over; a null source is a source, after all others; equal
-rows share one hash and are taken alike; a null doc_id is a value like others; an empty table gives no rows; further columns pass
+rows are documents of their own; a null doc_id is a value like others; an empty table gives no rows; further columns pass
 through apply_mix() (names that begin with `mix_` are used by it).
 """
 
@@ -26,14 +30,33 @@ MAX_EPOCHS = 3
 CLOSERS = 3
 #: Plans with at most so many sources are broadcast (about 100 bytes a source).
 BROADCAST_SOURCES = 50_000
+#: Rows in a range of hashes; ranges are 2**LEAST_BITS at least.
+RANGE_ROWS, LEAST_BITS = 100_000, 10
 
 
 def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Adds mix_size (words of a text) and mix_hash (its place in the seeded order)."""
-    return docs.withColumns({
-        "mix_size": F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long"),
-        "mix_hash": F.xxhash64(F.lit(seed), "doc_id", "text"),
-    })
+    """Adds mix_size (words of a text) and mix_hash (its place in the seeded order). Equal rows have equal hashes: see told_apart()."""
+    # each run becomes one character, so no list of the words is made
+    marks = F.translate(F.regexp_replace("text", r"[^\x20\x09-\x0D]+", "w"), " \t\n\x0b\x0c\r", "")
+    return docs.withColumns({"mix_size": F.coalesce(F.length(marks), F.lit(0)).cast("long"), "mix_hash": F.xxhash64(F.lit(seed), "doc_id", "text")})
+
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows with a mix_hash of each one's own. Where all differ already, as with distinct doc_ids, they are given back as they are."""
+    twice = rows.groupBy("mix_hash").agg(F.count("*").alias("n")).filter("n > 1").select("mix_hash")
+    if twice.limit(1).count() == 0:
+        return rows
+    rows = written(rows.withColumn("mix_part", F.spark_partition_id()))
+    twice = written(twice)
+    again = rows.join(twice, "mix_hash", "left_semi")
+    parts = again.groupBy("mix_hash", "mix_part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("mix_hash").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("mix_hash", "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_base"))
+    place = F.row_number().over(Window.partitionBy("mix_hash", "mix_part").orderBy(F.lit(0))) - 1 + F.col("mix_base")
+    again = again.join(base, ["mix_hash", "mix_part"]).withColumn("mix_place", place)
+    again = again.withColumn("mix_hash", F.when(F.col("mix_place") > 0, F.xxhash64("mix_hash", "mix_place")).otherwise(F.col("mix_hash")))
+    # written, as the numbers of equal rows must be the same each time that they are read
+    return written(rows.join(twice, "mix_hash", "left_anti").unionByName(again.select(rows.columns)).drop("mix_part"))
 
 
 def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -54,7 +77,9 @@ def water_fill(sources: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
 
 def plan_mix(slim: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """From (source, mix_size, mix_hash): one row a source with target, whole (repetitions of all), upto (the place of the last document with one more) and also (hashes of those that close the gap)."""
-    at = F.shiftrightunsigned("mix_hash", 54).cast("int")
+    largest = slim.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    bits = min(40, max(LEAST_BITS, (largest // RANGE_ROWS).bit_length()))
+    at = F.shiftrightunsigned("mix_hash", 64 - bits)
     ordered = slim.select("source", "mix_size", F.col("mix_hash"), at.alias("at"))
     totals = written(ordered.groupBy("source", "at").agg(F.sum("mix_size").alias("size")))
     targets = water_fill(totals.groupBy("source").agg(F.sum("size").alias("source_size")), max_epochs)
@@ -77,7 +102,7 @@ def plan_mix(slim: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     run = F.col("base") + F.sum("mix_size").over(Window.partitionBy("source").orderBy(F.col("mix_hash").bitwiseXOR(F.lit(-(2**63)))).rangeBetween(Window.unboundedPreceding, 0))
     last = inside.withColumn("run", run).filter(F.col("run") <= F.col("quota")).groupBy("source").agg(F.max(F.struct("run", F.col("mix_hash").bitwiseXOR(F.lit(-(2**63))).alias("key"))).alias("last"))
     # the seeded order is that of the hash read as unsigned: `key` is the hash with its sign turned
-    floor_key = F.when(F.col("cut_at") > 0, F.shiftleft(F.col("cut_at").cast("long"), 54).bitwiseXOR(F.lit(-(2**63))) - 1)
+    floor_key = F.when(F.col("cut_at") > 0, F.shiftleft("cut_at", 64 - bits).bitwiseXOR(F.lit(-(2**63))) - 1)
     ends = c.join(last.withColumnRenamed("source", "ls"), F.col("s").eqNullSafe(F.col("ls")), "left").select(
         "s", F.coalesce("last.key", floor_key).alias("upto"), (F.col("quota") - F.coalesce("last.run", "base")).alias("gap")
     )
@@ -87,9 +112,11 @@ def plan_mix(slim: DataFrame, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     for _ in range(CLOSERS):  # each time the document nearest in size to what is still missing, if it brings the total nearer
         e = F.broadcast(ends) if small else ends
         left = ordered.join(e, F.col("source").eqNullSafe(F.col("s")) & (F.col("upto").isNull() | (key > F.col("upto"))))
-        near = left.filter((F.col("mix_size") > 0) & (off < F.col("gap")) & ~F.array_contains("also", F.col("mix_hash"))).groupBy("source").agg(F.min(F.struct(off.alias("off"), F.col("mix_hash").alias("hash"), F.col("mix_size").alias("size"))).alias("next"))
+        fits = left.filter((F.col("mix_size") > 0) & (off < F.col("gap")) & ~F.array_contains("also", F.col("mix_hash")))
+        near = fits.groupBy(F.col("source").alias("ns")).agg(F.min(F.struct(off.alias("off"), F.col("mix_hash").alias("hash"), F.col("mix_size").alias("size"))).alias("next"))
+        also = F.when(F.col("next").isNull(), F.col("also")).otherwise(F.array_append("also", F.col("next.hash")))
         ends = written(
-            ends.join(near.withColumnRenamed("source", "ns"), F.col("s").eqNullSafe(F.col("ns")), "left").select("s", "upto", (F.col("gap") - F.coalesce("next.size", F.lit(0))).alias("gap"), F.when(F.col("next").isNull(), F.col("also")).otherwise(F.array_append("also", F.col("next.hash"))).alias("also"))
+            ends.join(near, F.col("s").eqNullSafe(F.col("ns")), "left").select("s", "upto", (F.col("gap") - F.coalesce("next.size", F.lit(0))).alias("gap"), also.alias("also"))
         )
     return (
         targets.join(ends.drop("gap"), F.col("source").eqNullSafe(F.col("s")), "left")
@@ -108,13 +135,14 @@ def apply_mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, max_epochs: float = MAX_EPOCHS, seed: int = 7) -> DataFrame:
     """The mixed documents, each as often as it is taken, with the columns of docs."""
-    slim = written(sized(docs, seed).select("source", "mix_size", "mix_hash"))
-    out = apply_mix(sized(docs, seed), written(plan_mix(slim, max_epochs)))
+    rows = told_apart(sized(docs, seed))
+    slim = written(rows.select("source", "mix_size", "mix_hash"))
+    out = apply_mix(rows, written(plan_mix(slim, max_epochs)))
     return out.filter("mix_repeats > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_repeats").cast("int")))).select(*[F.col(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slim = written(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_size", "mix_hash"))
+    slim = told_apart(written(sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_size", "mix_hash")))
     return apply_mix(slim, written(plan_mix(slim))).select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_repeats")).alias("taken"), "source"
     )

@@ -334,6 +334,7 @@ def test_mixing(spark):
     rows = [(i, " ".join(["w"] * rng.randint(1, 30)), rng.choice(["a", "a", "a", "b", "c", "D", None])) for i in range(400)] + [(900, None, "a"), (901, "", "empty"), (902, "w w", "tiny")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     slim = mixing.sized(docs)
+    assert {r.doc_id: r.mix_size for r in slim.collect()} == {i: len((t or "").split()) for i, t, _ in rows}
     plan = mixing.plan_mix(slim.select("source", "mix_size", "mix_hash"))
     out = mixing.apply_mix(slim, plan).collect()
     sizes = Counter()
@@ -353,6 +354,31 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_of_equal_rows(spark):
+    """20 equal rows without an id meet their target as well as any others, and reruns on other partitions agree."""
+    rows = [(None, "w " * 20, "a")] * 20 + [(k, "w " * 10, "b") for k in range(60)]
+    runs = []
+    for parts in (1, 5):
+        rows_now = mixing.told_apart(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)))
+        out = mixing.apply_mix(rows_now, mixing.plan_mix(rows_now.select("source", "mix_size", "mix_hash"))).collect()
+        assert len({r.mix_hash for r in out}) == len(rows) == len(out)
+        runs.append(sorted((r.source, r.doc_id or 0, r.mix_hash, r.mix_repeats) for r in out))
+        for s in "ab":
+            assert abs(sum(r.mix_size * r.mix_repeats for r in out if r.source == s) - next(r.mix_target for r in out if r.source == s)) <= 10
+    assert runs[0] == runs[1]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert mixed.filter("source = 'a'").count() == sum(r[3] for r in runs[0] if r[0] == "a")
+
+
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, "w " * (k % 7 + 1), "ab"[k % 2]) for k in range(300)], "doc_id long, text string, source string")
+    slim = mixing.sized(docs)
+    repeats = lambda: sorted((r.doc_id, r.mix_repeats) for r in mixing.apply_mix(slim, mixing.plan_mix(slim.select("source", "mix_size", "mix_hash"))).collect())
+    few = repeats()
+    monkeypatch.setattr(mixing, "LEAST_BITS", 14)
+    assert repeats() == few
+
+
 # 9 near duplicates
 
 
