@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.components import Forest, components
-from kilnwork.llm.shared import numbered, table, written
+from kilnwork.llm.shared import numbered, table, tidied, written
 
 THRESHOLD = 0.93
 #: Vectors in a block, vectors for each centre, and the most numbers in the centres of all labels.
@@ -280,14 +280,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
         "k1": F.xxhash64("embedding", "label"), "k2": F.xxhash64(F.lit(1), "label", "embedding"), "label_key": F.col("label").cast("string"), "dims": F.size("embedding"),
     })
     key = ["label_key", "dims", "k1", "k2"]
-    classes = written(keyed.groupBy(*key).agg(F.min("_row").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
-    placed = written(_placed(classes, _centres(classes, cell, centres), threshold))
-    tasks = _dealt(placed, threshold, block).groupBy("label_key", "dims", "cell", "i", "j")
-    found = written(tasks.applyInArrow(_compare(threshold), "a long, b long, kind int"))
-    links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    per_class = written(classes.join(links, "rep", "left").join(joined, "rep", "left").select(
-        *key, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    with tidied() as keep:
+        classes = written(keyed.groupBy(*key).agg(F.min("_row").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding")))
+        placed = written(_placed(classes, _centres(classes, cell, centres), threshold))
+        tasks = _dealt(placed, threshold, block).groupBy("label_key", "dims", "cell", "i", "j")
+        found = written(tasks.applyInArrow(_compare(threshold), "a long, b long, kind int"))
+        links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
+        joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
+        per_class = keep(written(classes.join(links, "rep", "left").join(joined, "rep", "left").select(
+            *key, F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))))
     linked = keyed.select("_row", "doc_id", *key).join(per_class, key).select("_row", "doc_id", "n_links", "component")
     alone = rows.filter(~_usable()).select("_row", "doc_id", F.lit(0).cast("long").alias("n_links"), F.col("_row").alias("component"))
     out = linked.unionByName(alone)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.components import Forest, components
-from kilnwork.llm.shared import numbered, table, written
+from kilnwork.llm.shared import numbered, table, tidied, written
 from kilnwork.llm.words import blocks, mix, shingles, words_by_text
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -290,31 +290,32 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
 def row_classes(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(row, class_row, n_links) of rows as numbered() gives them, without those of a null doc_id: the smallest row of each one's class, and the number of other rows linked directly."""
-    docs = rows.filter("doc_id IS NOT NULL").select(F.col("_row").alias("doc_id"), "text")
-    sketches = written(sketch(docs))
-    classes = written(
-        sketches.filter("k1 IS NOT NULL").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
-    )
-    groups = components(candidate_edges(classes, threshold, recall)).select(F.col("node").alias("rep"), F.col("component").alias("team"))
-    groups = written(groups.join(classes.select("rep", "copies", "size"), "rep"))
-    # blocks of a group: so many that neither their classes nor their shingles are too many
-    parts = F.greatest(F.ceil(F.count("*") / F.lit(float(GROUP_BLOCK))), F.ceil(F.sum("size") * F.lit(8.0) / F.lit(float(GROUP_BYTES))))
-    teams = groups.groupBy("team").agg(parts.alias("parts"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sets in _sets(batch):
-                rest = [batch.column(c).slice(first, len(sets)) for c in ("rep", "team", "copies", "parts")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "team", "copies", "parts", "shingles"])
-
-    # texts meet the groups by a sort-merge join at every size: the groups grow with the documents
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge")
-    one_text = texts.join(groups.drop("size").join(teams, "team"), "rep")
-    members = one_text.mapInArrow(whole, "rep long, team long, copies long, parts long, shingles binary")
-    found = written(dealt(members, F.col("parts")).groupBy("team", "i", "j").applyInArrow(_verify(threshold), "a long, b long, kind int"))
-    links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
-    joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    per_class = written(classes.join(links, "rep", "left").join(joined, "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    with tidied() as keep:
+        docs = rows.filter("doc_id IS NOT NULL").select(F.col("_row").alias("doc_id"), "text")
+        sketches = keep(written(sketch(docs)))
+        classes = written(
+            sketches.filter("k1 IS NOT NULL").groupBy("k1", "k2", "size").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+        )
+        groups = components(candidate_edges(classes, threshold, recall)).select(F.col("node").alias("rep"), F.col("component").alias("team"))
+        groups = written(groups.join(classes.select("rep", "copies", "size"), "rep"))
+        # blocks of a group: so many that neither their classes nor their shingles are too many
+        parts = F.greatest(F.ceil(F.count("*") / F.lit(float(GROUP_BLOCK))), F.ceil(F.sum("size") * F.lit(8.0) / F.lit(float(GROUP_BYTES))))
+        teams = groups.groupBy("team").agg(parts.alias("parts"))
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, sets in _sets(batch):
+                    rest = [batch.column(c).slice(first, len(sets)) for c in ("rep", "team", "copies", "parts")]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array([x.tobytes() for x in sets], pa.binary())], ["rep", "team", "copies", "parts", "shingles"])
+
+        # texts meet the groups by a sort-merge join at every size: the groups grow with the documents
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").hint("merge")
+        one_text = texts.join(groups.drop("size").join(teams, "team"), "rep")
+        members = one_text.mapInArrow(whole, "rep long, team long, copies long, parts long, shingles binary")
+        found = written(dealt(members, F.col("parts")).groupBy("team", "i", "j").applyInArrow(_verify(threshold), "a long, b long, kind int"))
+        links = found.filter("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
+        joined = components(found.filter("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
+        per_class = keep(written(classes.join(links, "rep", "left").join(joined, "rep", "left").select("k1", "k2", "size", F.coalesce("component", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))))
     rest = sketches.filter("k1 IS NULL").select(F.col("doc_id").alias("row"), F.col("doc_id").alias("class_row"), F.lit(0).cast("long").alias("n_links"))
     return sketches.filter("k1 IS NOT NULL").select("doc_id", "k1", "k2", "size").join(per_class, ["k1", "k2", "size"]).select(F.col("doc_id").alias("row"), F.col("class").alias("class_row"), F.col("links").alias("n_links")).unionByName(rest)
 

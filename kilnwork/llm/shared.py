@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,32 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def tidied() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at the end all that written() wrote inside, but for the tables handed to the function that it gives."""
+    _scratch.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        forget(*[x for x in _scratch.pop() if all(x is not k for k in kept)])
+        if _scratch:
+            _scratch[-1] += kept
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete what written() wrote for these; nothing may read them any more."""
     for df in tables:
