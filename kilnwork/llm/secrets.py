@@ -4,11 +4,13 @@ Fixed formats are matched over the whole text (BASE). Their values are the label
 PER_KIND distinct ones, by hash. From each kind's strings a prefix tree with counts is built and its states are merged where
 a Hoeffding bound lets their outgoing frequencies, and those of all that follow, be the same (red-blue order); what is left is a
 probabilistic automaton of the kind's format. Strings are spelled by classes of characters, except for the letters that all of a kind's strings begin
-with, which stay themselves. A background automaton comes in the same way from runs of that length that hold no digit (of each text the first run).
+with, which stay themselves. A background automaton comes in the same way from PLAIN distinct runs of texts without base spans (of each
+text the first from its middle on).
 
-A candidate is every maximal run of 12 or more characters [A-Za-z0-9+/_.=-] (full stops and dashes cut from its ends) with a
-letter and a digit in it, outside all base spans. It is reported, as kind `format`, if its log-likelihood a character under some kind's
-automaton is no less than the TAIL quantile of that kind's own strings and exceeds the background's.
+A candidate is every maximal run of LEAST or more characters [A-Za-z0-9+/_.=-] (full stops and dashes cut from its ends; LEAST is the
+shortest value that the fixed formats take), also the parts of a run beside base spans. All candidates are scored. One is reported, as kind
+`format`, if its log-likelihood a character under some kind's automaton is no less than the TAIL quantile of that kind's own strings
+and its whole log-likelihood exceeds the background's by at least MARGIN, as there are far more words than secrets.
 
 Defined results: a null or empty text has no spans; equal rows are rows of the result each; a null doc_id is kept; an empty table
 gives no rows, and a corpus without base spans no automata; further columns are not read. Offsets are code points.
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -29,18 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnwork.llm.shared import table, written
+from kilnwork.llm.shared import forget, table, written
 
-PER_KIND, ALPHA, TAIL = 300, 0.05, 0.05
+PER_KIND, PLAIN, ALPHA, TAIL, MARGIN = 300, 2000, 0.05, 0.05, log(1000)
 #: A candidate's least length, and the longest string that is trained on.
-LEAST, LONGEST = 12, 512
+LEAST, LONGEST = 6, 512
+#: Distinct candidates whose scores a task remembers.
+REMEMBERED = 200_000
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
-_DIGIT = re.compile(r"[0-9]")
-_LETTER = re.compile(r"[A-Za-z]")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -55,20 +57,26 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
-def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, value) of the candidates outside `taken`."""
-    out = []
-    if not _DIGIT.search(text):
-        return out
-    starts, reach = [x[0] for x in taken], list(accumulate((x[2] for x in taken), max))
+def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, value) of the candidates: runs, and what base spans (by start) leave of them."""
+    ends = list(accumulate((x[2] for x in taken), max))
     for m in _RUN.finditer(text):
-        value = m[0].strip(".-")
-        start = m.start() + len(m[0]) - len(m[0].lstrip(".-"))
-        end = start + len(value)
-        before = bisect_left(starts, end)  # the base spans that begin before its end; it is free of them if none reaches past its start
-        if len(value) >= LEAST and _DIGIT.search(value) and _LETTER.search(value) and (not before or reach[before - 1] <= start):
-            out.append((start, end, value))
-    return out
+        start, end = m.span()
+        if not taken:
+            parts = [(start, end)]
+        else:
+            parts, at = [], start
+            for k in range(bisect_right(ends, start), bisect_left(taken, (end,))):  # the spans that touch the run
+                parts.append((at, min(taken[k][0], end)))
+                at = max(at, taken[k][2])
+            parts.append((at, end))
+        for a, b in parts:
+            if b - a >= LEAST:
+                value = text[a:b].lstrip(".-")
+                a = b - len(value)
+                value = value.rstrip(".-")
+                if len(value) >= LEAST:
+                    yield a, a + len(value), value
 
 
 _CLASS = {c: k for k, cs in {"d": "0123456789", "a": "abcdef", "z": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "Z": "GHIJKLMNOPQRSTUVWXYZ", "_": "+/_=.-"}.items() for c in cs}
@@ -175,8 +183,11 @@ class Formats:
     background: Automaton | None
 
     def likely(self, value: str) -> bool:
+        scores = [s for a, n, least in self.kinds.values() if (s := a.score(spelled(value, n))) >= least]
+        if not scores:
+            return False
         plain = self.background.score(spelled(value, 0)) if self.background else -99.0
-        return any((s := a.score(spelled(value, n))) >= least and s > plain for a, n, least in self.kinds.values())
+        return (max(scores) - plain) * (len(value) + 1) >= MARGIN
 
 
 def fit(labelled: dict[str, list[str]], plain: list[str]) -> Formats:
@@ -196,58 +207,72 @@ def _prefix(values: list[str]) -> str:
     return low[: min(n, 8)]
 
 
-_SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("value", pa.string())])
-_RUN_TYPE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())])
+_SPAN = pa.struct([("kind", pa.int32()), ("value", pa.string())])
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, runs, plain): base spans and candidates of each whole text, and its first long run if that holds no digit."""
+    """(base, plain): the labelled credentials of each whole text, and a run of a text that has none."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, runs, plain = [], [], []
+            base, plain = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                base.append([dict(zip(("start", "kind", "end", "value"), s, strict=True)) for s in spans])
-                runs.append([dict(zip(("start", "end", "value"), s, strict=True)) for s in candidates(text, spans)])
-                m = _RUN.search(text)
-                plain.append(m[0] if m and not _DIGIT.search(m[0]) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, pa.list_(_SPAN)), pa.array(runs, pa.list_(_RUN_TYPE)), pa.array(plain, pa.string())], ["doc_id", "base", "runs", "plain"])
+                base.append([{"kind": s[1], "value": s[3]} for s in spans])
+                middle = 0 if spans else max(0, text.find(" ", len(text) // 2))
+                plain.append(next((m[0].strip(".-") for m in _RUN.finditer(text, middle)), None) if not spans else None)
+            yield pa.RecordBatch.from_arrays([pa.array(base, pa.list_(_SPAN)), pa.array(plain, pa.string())], ["base", "plain"])
 
-    schema = "doc_id long, base array<struct<start: long, kind: int, end: long, value: string>>, runs array<struct<start: long, end: long, value: string>>, plain string"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, schema)
+    return docs.select("text").mapInArrow(scan, "base array<struct<kind: int, value: string>>, plain string").filter("size(base) > 0 OR plain IS NOT NULL")
 
 
-def learned(found: DataFrame) -> Formats:
-    """Automata from at most PER_KIND values of each kind and as many plain words."""
+def learned(docs: DataFrame) -> Formats:
+    """Automata from at most PER_KIND values of each kind and PLAIN plain runs."""
+    found = written(scanned(docs))
 
-    def some(values: DataFrame) -> list[str]:
-        return [r["v"] for r in values.filter(F.length("v") <= LONGEST).distinct().orderBy(F.xxhash64("v"), "v").limit(PER_KIND).collect()]
+    def some(values: DataFrame, most: int) -> list[str]:
+        return [r["v"] for r in values.filter(F.length("v").between(LEAST, LONGEST)).distinct().orderBy(F.xxhash64("v"), "v").limit(most).collect()]
 
     values = found.select(F.explode("base").alias("b"))
-    return fit({name: some(values.filter(F.col("b.kind") == k).select(F.col("b.value").alias("v"))) for k, name in enumerate(KINDS)}, some(found.filter("plain IS NOT NULL").select(F.col("plain").alias("v"))))
+    labelled = {name: some(values.filter(F.col("b.kind") == k).select(F.col("b.value").alias("v")), PER_KIND) for k, name in enumerate(KINDS)}
+    formats = fit(labelled, some(found.filter("plain IS NOT NULL").select(F.col("plain").alias("v")), PLAIN))
+    forget(found)
+    return formats
 
 
-def with_formats(found: DataFrame, formats: Formats) -> DataFrame:
-    """Adds n_assign, n_access, n_hex, base_sha256, spans and n_format from the scanned rows."""
-    own = found.sparkSession.sparkContext.broadcast(formats)  # some hundred states
+def with_formats(docs: DataFrame, formats: Formats) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format) of every whole text."""
+    own = docs.sparkSession.sparkContext.broadcast(formats)  # some hundred states
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        formats, known = own.value, {}
+
+        def likely(value: str) -> bool:
+            told = known.get(value)
+            if told is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                told = known[value] = formats.likely(value)
+            return told
+
         for batch in batches:
             out = []
-            for base, runs in zip(batch.column("base").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                told = [(b["start"], b["kind"], f"{KINDS[b['kind']]}:{b['start']}:{b['end']}") for b in base]
-                more = [(r["start"], len(KINDS), f"format:{r['start']}:{r['end']}") for r in runs if own.value.likely(r["value"])]
-                text = ",".join(x[2] for x in told)
-                out.append((*(sum(x[1] == k for x in told) for k in range(3)), hashlib.sha256(text.encode()).hexdigest(), ",".join(x[2] for x in sorted(told + more)), len(more)))
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                base = base_spans(text)
+                told = [(start, kind, f"{KINDS[kind]}:{start}:{end}") for start, kind, end, _ in base]
+                more = [(a, len(KINDS), f"format:{a}:{b}") for a, b, value in candidates(text, base) if likely(value)] if formats.kinds else []
+                spans = ",".join(x[2] for x in told)
+                out.append((*(sum(x[1] == k for x in told) for k in range(3)), hashlib.sha256(spans.encode()).hexdigest(), ",".join(x[2] for x in sorted(told + more)), len(more)))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"])
+            names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
-    return found.select("doc_id", "base", "runs").mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long")
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(scanned(table(spark, sf_dir, "documents")))
-    return with_formats(found, learned(found))
+    docs = table(spark, sf_dir, "documents")
+    return with_formats(docs, learned(docs))

@@ -692,22 +692,121 @@ def test_base_spans():
     assert got_spans == [("assign", "PASSWORD = hunter22x"), ("access", "AKIA" + "B1" * 8), ("hex", "0af" * 9), ("assign", 'api_key: "qwe.rty-')]
 
 
+def slow_spans(text):
+    """The fixed formats read letter by letter, without patterns."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    fold = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    out, at = [], 0
+
+    def run(k, allowed):
+        end = k
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    while at < len(text):
+        key = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if fold(text[at : at + len(w)]) == w), None)
+        end = None
+        if key:
+            k = at + len(key)
+            k += text[k : k + 1] in ("'", '"') and k < len(text)
+            k = run(k, " ")
+            if k < len(text) and text[k] in ":=":
+                k = run(k + 1, " ")
+                k += k < len(text) and text[k] in "'\""
+                end = run(k, value)
+                if end > k:
+                    out += [("assign", at, end)] * (end - k >= 6)
+                else:
+                    end = None
+        at = end or at + 1
+    at = 0
+    while at < len(text):
+        end = run(at + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")) if text.startswith("AKIA", at) else 0
+        if end > at + 4:
+            out += [("access", at, end)] * (end - at >= 20)
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        out += [("hex", at, end)] * (end - at >= 24)
+        at = max(end, at + 1)
+    return sorted(out, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def credential_texts(n=400):
+    rng = random.Random(11)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "api__key", "=", ":", " ", "  ", "'", '"', "AKIA", "A1B2C3D4E5F6G7H8", "0af9" * 6, "0af9" * 5, "hunter2", "é", "ſ", "\n", "-", ".", "x" * 9, "Q", "=="]
+    return ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(n)]
+
+
+def test_base_spans_letter_by_letter():
+    for text in credential_texts():
+        assert [(secrets.KINDS[k], a, b) for a, k, b, _ in secrets.base_spans(text)] == slow_spans(text), text
+
+
+def test_candidates_are_all_runs_beside_base_spans():
+    for text in credential_texts():
+        base = secrets.base_spans(text)
+        free = list(text)
+        for a, _, b, _ in base:
+            free[a:b] = [" "] * (b - a)
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", "".join(free)):
+            v = m[0].strip(".-")
+            if len(v) >= 6:
+                start = m.start() + len(m[0]) - len(m[0].lstrip(".-"))
+                want.append((start, start + len(v), v))
+        assert list(secrets.candidates(text, base)) == want, text
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
     rows = [(i, f"some words here token={hexes(32)} and {hexes(40)} end") for i in range(30)] + [(100, f"plain words {hexes(20)}9a more"), (101, None), (102, ""), (103, "nothing at all, characteristically")]
-    found = secrets.scanned(frame(spark, rows)).cache()
-    out = got(secrets.with_formats(found, secrets.learned(found)))
+    rows += [(None, "secret: abcdef" + "0" * 30), (104, "word " * 40_000 + "password=" + "z9" * 9)] + [(30 + k, t) for k, t in enumerate(credential_texts(40))]
+    docs = frame(spark, [(i if i is not None else -1, t) for i, t in rows]).withColumn("doc_id", F.expr("nullif(doc_id, -1)"))
+    out = got(secrets.with_formats(docs, secrets.learned(docs)))
+    assert len(out) == len(rows)
     for i, t in rows:
-        base = secrets.base_spans(t or "")
-        told = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in base)
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in slow_spans(t or ""))
         assert out[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
         assert set(told.split(",")) - {""} <= set(out[i]["spans"].split(","))
-    assert out[100]["n_format"] == 1 and out[103]["spans"] == ""
-    empty = secrets.scanned(frame(spark, []))
+        assert [out[i][f"n_{k}"] for k in secrets.KINDS] == [sum(x[0] == k for x in slow_spans(t or "")) for k in secrets.KINDS]
+    assert out[103]["spans"] == ""
+    empty = frame(spark, [])
     assert secrets.with_formats(empty, secrets.learned(empty)).count() == 0
 
 
+def test_unlabelled_credentials_of_known_formats(spark):
+    """Credentials without a fixed format's syntax, planted among words, numbers, dates and addresses: what is found, and what else is."""
+    rng = random.Random(4)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 6)))
+    plain = lambda: [rng.choice([word, word, word, lambda: f"20{rng.randint(10, 25)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", lambda: f"{word()}.com/{word()}", lambda: str(rng.randint(10**6, 10**9))])() for _ in range(60)]
+    rows, planted = [], {}
+    for i in range(300):
+        w = plain()
+        if i % 3 == 0:
+            w.insert(20, f"token={letters(32, mixed)}")
+        elif i % 3 == 1:
+            own = letters(32, mixed)
+            w.insert(20, own)
+            planted[i] = own
+        rows.append((i, " ".join(w)))
+    docs = frame(spark, rows)
+    out = got(secrets.with_formats(docs, secrets.learned(docs)))
+    texts, hits, alarms = dict(rows), 0, 0
+    for i, r in out.items():
+        told = [texts[i][int(a) : int(b)] for a, b in (x.split(":")[1:] for x in r["spans"].split(",") if x.startswith("format"))]
+        hits += planted.get(i) in told
+        alarms += len([x for x in told if x != planted.get(i)])
+    assert hits >= 0.8 * len(planted) and alarms <= 0.0005 * 300 * 60, (hits, len(planted), alarms)
+
+
 def test_automata_tell_formats_apart():
     rng = random.Random(1)
     ids = ["AKIA" + "".join(rng.choice("ABCDEFGHJKLMNP234567") for _ in range(16)) for _ in range(100)]
