@@ -5,8 +5,8 @@ each bit a logistic classifier over hashed byte trigrams of the whole text predi
 logistic loss of its bits, each weighted by how often the bit was right for that language in training, and takes the least. The
 score is the winner's share among exp(-loss); a small lead over the runner-up marks the prediction as ambiguous.
 
-Training takes about ROWS documents in all, by hash. Defined results: null text and text without a letter are `und` with score 0;
-languages are the distinct non-null values of lang that training sees; with none of them every text is `und`; a null doc_id is
+Training takes about ROWS documents in all, by hash, of the LANGS most frequent values of lang (a bound for columns with stray
+values). Defined results: null text and text without a letter are `und` with score 0; languages are the values that training sees; with none of them every text is `und`; a null doc_id is
 kept; an empty table gives no rows; further columns are not read.
 """
 
@@ -23,7 +23,7 @@ from kilnwork.llm.quality import mapped
 from kilnwork.llm.shared import remainder, table
 from kilnwork.llm.words import mix
 
-ROWS, DIMS, BITS, ROUNDS = 4000, 2048, 15, 200
+ROWS, LANGS, DIMS, BITS, ROUNDS = 4000, 400, 2048, 15, 200
 #: A lead over the runner-up's share below which a prediction is flagged.
 LEAD = 0.2
 _LETTER = np.full(256, 32, np.uint8)
@@ -110,15 +110,13 @@ def fit(x: np.ndarray, lang: list[str]) -> Codes | None:
 
 def trained(docs: DataFrame, by: int = 4, held_out: int = 2, rows: int = ROWS) -> Codes | None:
     known = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", by) != held_out))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()
     if not counts:
         return None
-    each = max(10, rows // len(counts))
-    rate = F.lit(0.0)
+    each = max(1, rows // len(counts))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in counts], "lang string, rate double")
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
-    for name, n in counts.items():
-        rate = F.when(F.col("lang") == name, min(1.0, each / n)).otherwise(rate)
-    some = known.filter(place < rate).withColumnRenamed("lang", "y")
+    some = known.join(F.broadcast(rates), "lang").filter(place < F.col("rate")).select("doc_id", "text", F.col("lang").alias("y"))
     got = mapped(some, lambda data: [pa.array([x.tobytes() for x in features(data)], pa.binary())], "doc_id long, y string, x binary", ["x"]).orderBy(F.xxhash64("doc_id"), "y").collect()
     return fit(np.array([np.frombuffer(r["x"], np.float32) for r in got]).reshape(-1, DIMS), [r["y"] for r in got])
 

@@ -78,11 +78,12 @@ def remainder(column: str, by: int) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, by: int, held_out: int, per_class: int) -> DataFrame:
     """(doc_id, text, y) of at most `per_class` labelled documents of each class, first by hash, none of the held-out fold.
 
-    The chosen ids, at most 2 * per_class, are the only thing broadcast.
+    The chosen ids, at most 2 * per_class, are the only thing broadcast. Of rows with one doc_id one text is taken, the first by hash.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col(column).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", by) != held_out)).distinct()
     first = [known.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(first[0].unionByName(first[1])), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("place"), "text")).alias("row")).select("doc_id", "row.text", "y")
 
 
 def best_cut(scores, y, soft: float = 0.1) -> float:

@@ -7,9 +7,9 @@ logistic unit scores the pooled state. A text's score is its highest window's, m
 labels best becomes 0.7.
 
 Training is by multiple instances: of a toxic text the window that the network scores highest (at first, the one with the highest log-odds) counts
-as toxic; of a clean text the highest and a random one count as clean. Training takes at most PER_CLASS rows of each label, and
-none of more than MAX_CHARS characters, so what the driver gathers is bounded; scoring reads all of every text. Input rows of the
-recurrence are computed once for each distinct word of a block of texts.
+as toxic; of a clean text the highest and a random one count as clean. Training takes at most PER_CLASS rows of each label, none of
+more than MAX_CHARS characters and at most SUM_CHARS of a label in all, so what the driver gathers is bounded; scoring reads all
+of every text. Input rows of the recurrence are computed once for each distinct word of a block of texts.
 
 Defined results: a null or empty text, or one without words, has score 0; equal texts get equal scores; a null doc_id is kept;
 without labels of both kinds all scores are 0; an empty table gives no rows; further columns are not read.
@@ -19,15 +19,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kilnwork.llm.quality import mapped
 from kilnwork.llm.shared import best_cut, labelled_sample, remainder, table
 from kilnwork.llm.words import _FOLD, mix, word_hashes
 
-PER_CLASS, MAX_CHARS = 1500, 160_000
-WINDOW, STEP = 32, 24
+PER_CLASS, MAX_CHARS, SUM_CHARS = 1500, 160_000, 16 << 20
+#: A window starts at every half window: a passage of 17 words or fewer lies whole in one.
+WINDOW, STEP = 32, 16
 WORD_ROWS, CHAR_ROWS, WIDTH, HIDDEN = 1 << 14, 1 << 12, 8, 8
 BATCH, EPOCHS, LEAST_STEPS = 128, 4, 150
 #: The share of words whose embeddings are hidden in a training step.
@@ -229,7 +230,8 @@ def _log_odds(words: Words, y: np.ndarray, among: np.ndarray) -> tuple[np.ndarra
     return words.distinct[order], value[order].astype(np.float32)
 
 
-def fit(data: list[bytes], y: np.ndarray, seed: int = 3) -> Network:
+def fit(data: list[bytes], y: np.ndarray, seed: int = 3, log_odds: bool = True) -> Network:
+    """log_odds=False leaves the words' log-odds out: the network alone."""
     net = Network(seed)
     words = Words(data)
     windows, text = words.windows()
@@ -238,11 +240,12 @@ def fit(data: list[bytes], y: np.ndarray, seed: int = 3) -> Network:
     if not len(good) or not len(bad):
         return net
     rng = np.random.default_rng(seed)
-    net.odds = _log_odds(words, y, used)
+    odds_of = lambda among: _log_odds(words, y, among if log_odds else among[:0])
+    net.odds = odds_of(used)
     # a text is trained on with the log-odds of the other folds, as any other text will be read without its own label
     mark = {}
     fold = np.array([mark.setdefault(words.ordinal[words.begins[k] : words.begins[k + 1]].tobytes(), rng.integers(FOLDS)) for k in range(len(y))])
-    others = [_log_odds(words, y, used[fold[used] != f]) for f in range(FOLDS)]
+    others = [odds_of(used[fold[used] != f]) for f in range(FOLDS)]
     firsts = np.searchsorted(text, np.arange(len(y) + 1))
     first, second = {k: np.zeros_like(v) for k, v in net.p.items()}, {k: np.zeros_like(v) for k, v in net.p.items()}
     level = np.zeros(len(windows), np.float32)
@@ -296,7 +299,8 @@ def fit(data: list[bytes], y: np.ndarray, seed: int = 3) -> Network:
 def trained(docs: DataFrame, labels: DataFrame, by: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> Network:
     sample = labelled_sample(docs, labels, "toxic", by, held_out, per_class)
     short = sample.select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= MAX_CHARS)
-    rows = short.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).collect()
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of PER_CLASS rows at most
+    rows = short.withColumn("so_far", so_far).filter(F.col("so_far") <= SUM_CHARS).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).collect()
     return fit([r["text"].encode("utf-8", "replace") for r in rows], np.array([r["y"] for r in rows], int))
 
 

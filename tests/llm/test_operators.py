@@ -625,6 +625,38 @@ def test_classifiers_on_held_out_rows(spark, kind, module, by, fold):
     assert {round(r.score, 6) for r in module.scored(docs, nothing).collect()} <= {0.0, 1.0}
 
 
+@pytest.mark.parametrize(("kind", "module"), [("toxic", toxicity), ("quality", quality)])
+def test_classifiers_on_odd_rows(spark, kind, module):
+    """Equal texts score alike, null ids are kept, an empty table gives nothing, an id on many rows is one training row."""
+    docs, labels, _ = labelled(spark, kind)
+    more = spark.createDataFrame([(None, "one text"), (None, "one text"), (7, "another"), (7, "another"), (7, None)], "doc_id long, text string")
+    model = module.trained(docs.select("doc_id", "text").unionByName(more), labels)
+    out = sorted(((r.doc_id, r.score) for r in module.scored(more, model).collect()), key=str)
+    assert len(out) == 5 and out[3] == out[4] and sorted(x for i, x in out if i == 7)[1:] != [] and module.scored(docs.limit(0), model).count() == 0
+    assert len({x for i, x in out if i == 7}) <= 2
+    assert 0 <= min(x for _, x in out) and max(x for _, x in out) <= 1
+
+
+def test_network_without_log_odds(spark):
+    """Ablation: the network alone parts held-out texts too."""
+    docs, _, truth = labelled(spark, "toxic", n=400)
+    rows = [(r.doc_id, r.text.encode()) for r in docs.collect() if r.doc_id in truth]
+    train, held = [r for r in rows if r[0] % 3], [r for r in rows if r[0] % 3 == 0]
+    net = toxicity.fit([t for _, t in train], np.array([truth[i] for i, _ in train]), log_odds=False)
+    assert len(net.odds[0]) == 0
+    assert np.mean((net.score([t for _, t in held]) >= 0.7) == np.array([truth[i] for i, _ in held])) >= 0.85
+
+
+def test_ranking_lowers_the_pairwise_loss():
+    rng = np.random.default_rng(4)
+    y = np.arange(300) % 2
+    x = rng.normal(size=(300, 24)) + y[:, None] * (np.arange(24) < 3)
+    model = quality.fit(x, y)
+    s = model.raw(x)
+    loss = np.log1p(np.exp(-(s[y == 1][:, None] - s[y == 0][None, :]))).mean()
+    assert loss < 0.6 * np.log(2) and (s[y == 1][:, None] > s[y == 0][None, :]).mean() > 0.9
+
+
 def test_quality_keeps_columns(spark):
     docs, labels, _ = labelled(spark, "quality")
     kept = quality.kept(docs, quality.trained(docs, labels))
@@ -655,9 +687,9 @@ def test_network_gradient():
 
 
 def test_windows_cover_every_word():
-    w = toxicity.Words([b" ".join(b"w%d" % k for k in range(n)) for n in (0, 1, 24, 32, 33, 56, 57, 100)])
+    w = toxicity.Words([b" ".join(b"w%d" % k for k in range(n)) for n in (0, 1, 16, 24, 32, 33, 48, 49, 56, 57, 100)])
     windows, text = w.windows()
-    for k, n in enumerate((0, 1, 24, 32, 33, 56, 57, 100)):
+    for k, n in enumerate((0, 1, 16, 24, 32, 33, 48, 49, 56, 57, 100)):
         assert len(np.unique(windows[(text == k)[:, None] & (windows >= 0)])) == n
 
 
@@ -676,6 +708,29 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predicted(docs, language.trained(docs.limit(0))).collect()} == {"und"}
 
 
+def test_decoding_weighs_the_loss_of_every_bit():
+    rng = np.random.default_rng(2)
+    code = language.codewords(5)
+    model = language.Codes(list("abcde"), code, rng.normal(size=(6, code.shape[1])), rng.normal(size=code.shape[1]), rng.random(code.shape))
+    x = rng.normal(size=(20, 6))
+    best, share, _ = model.decode(x)
+    for k, row in enumerate(x):
+        margin = [sum(row[d] * model.w[d, bit] for d in range(6)) + model.b[bit] for bit in range(code.shape[1])]
+        loss = [sum(model.weight[n, bit] * np.log(1 + np.exp(-code[n, bit] * margin[bit])) for bit in range(code.shape[1])) for n in range(5)]
+        assert best[k] == int(np.argmin(loss)) and share[k] == pytest.approx(np.exp(-min(loss)) / sum(np.exp(-v) for v in loss))
+
+
+def test_language_with_stray_values(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGS", 3)
+    rows = [(k, ("ka to mi " if k % 2 else "schung eiung ") * 9, "aa" if k % 2 else "bb") for k in range(60)] + [(100 + k, "stray", f"x{k}") for k in range(20)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string, lang string")
+    model = language.trained(docs)
+    assert {"aa", "bb"} <= set(model.langs) and len(model.langs) <= 3
+    out = got(language.predicted(docs, model))
+    assert np.mean([out[i]["lang_pred"] == v for i, _, v in rows[:60]]) > 0.9
+    assert language.predicted(docs.limit(0), model).count() == 0
+
+
 def test_codewords_part_all_languages():
     for n in (2, 3, 4, 17):
         code = language.codewords(n)
