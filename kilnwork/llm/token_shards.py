@@ -14,7 +14,8 @@ Tasks write under a name of their own and rename at the end. A task that runs ag
 bytes under the same name.
 
 Texts are cut before a space that follows a printable ASCII or Latin letter. No rule of the tokenizer's splitting pattern joins
-characters across such a place, so the ids of the pieces are the ids of the text; a worker remembers the words that it has encoded.
+characters across such a place, so the ids of the pieces are the ids of the text. A worker remembers the words that it has encoded; those
+of a lot of texts that it does not know are encoded together, joined again, and parted by the bytes that each id stands for.
 Texts with a special token's string are encoded whole, and so is everything where the vocabulary file asks for another splitting or
 for normalising.
 
@@ -29,10 +30,10 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,18 +49,13 @@ from kilnwork.llm.words import mix
 SHARD_TOKENS = 8 << 20
 BUCKET_KEYS = 200_000
 END_ID = 0
-#: Bytes that each of a worker's two memories of words may take.
-REMEMBERED = 24 << 20
-#: What an entry takes besides its text and ids.
-_ENTRY = 200
+#: Bytes that a worker's memory of words may take, and what an entry takes besides its text and ids.
+REMEMBERED, _ENTRY = 96 << 20, 200
+#: Texts in a lot, and words in a string that is encoded.
+LOT, JOINED = 500, 64
 _MAGIC = b"TOKS"
 _UNSURE = re.compile(r"[^!-~À-ɏ] |^ ")
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= )")
-#: Words of printable ASCII, Latin letters and line feeds, and the vocabulary's splitting pattern for such words.
-_PLAIN = re.compile(r"[!-~\nÀ-ɏ]+")
-_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ɏ]+|\s+(?!\S)|\s+")
-#: How the byte-level vocabulary writes bytes: printable ones as themselves, the others from U+0100 on in order.
-_LETTERS_OF = {b: chr(256 + n) for n, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 _encoders: dict = {}
 
 
@@ -70,25 +66,24 @@ def default_tokenizer() -> str:
 
 
 class _Memo(dict):
-    """What `encode` gives, by text. At half of REMEMBERED bytes the newer entries become the older ones, which are let go at the next turn."""
+    """Ids by word. turn(), at half of REMEMBERED bytes, makes the newer entries the older ones and lets those go."""
 
-    def __init__(self, encode):
-        self.encode, self.older, self.bytes = encode, {}, 0
+    def __init__(self):
+        self.older, self.bytes = {}, 0
 
-    def __missing__(self, text: str) -> bytes:
-        ids = self.older.get(text)
-        if ids is None:
-            ids = self.encode(text)
-        if self.bytes >= REMEMBERED // 2:
-            self.older = dict(self)
-            self.forget()
-        self[text] = ids
-        self.bytes += _ENTRY + len(text) + len(ids)
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older[word]
+        self.put({word: ids})
         return ids
 
-    def forget(self) -> None:
-        self.clear()
-        self.bytes = 0
+    def put(self, words: dict[str, bytes]) -> None:
+        self.update(words)
+        self.bytes += _ENTRY * len(words) + sum(map(len, words)) + sum(map(len, words.values()))
+
+    def turn(self) -> None:
+        if self.bytes >= REMEMBERED // 2:
+            self.older, self.bytes = dict(self), 0
+            self.clear()
 
 
 class Encoder:
@@ -98,47 +93,73 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.code = "H" if self.width == 2 else "I"
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.memo, self.runs = _Memo(self._word), _Memo(self._run)
+        self.memo = _Memo()
         spec = json.loads(self.tokenizer.to_str())
         splits = spec.get("pre_tokenizer") or {}
         usual = splits.get("type") == "ByteLevel" and not splits.get("add_prefix_space") and splits.get("use_regex", True)
         model = spec.get("model") or {}
         self.by_words = bool(usual and not spec.get("normalizer") and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges"))
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        vocab = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values(), default=0) + 1, np.int64)  # a byte-level token has a character for each byte
+        self.bytes_of[list(vocab.values())] = [len(x) for x in vocab]
 
     def whole(self, text: str) -> bytes:
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and a word."""
-        if _PLAIN.fullmatch(word):
-            return b"".join([self.runs[x] for x in _RUNS.findall(" " + word)])
-        return self.whole(" " + word)
-
-    def _run(self, run: str) -> bytes:
-        """Ids of one run of the splitting pattern: the library's merges alone."""
-        letters = run.translate(_LETTERS_OF) if run.isascii() else run.encode().decode("latin-1").translate(_LETTERS_OF)
-        return self._pack([t.id for t in self.model.tokenize(letters)])
-
-    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of a space and each of these words."""
+        plain = [w for w in words if "!" <= w[-1:] <= "~" or "À" <= w[-1:] <= "ɏ"]
+        if len(plain) < len(words):
+            known = set(plain)
+            self.memo.put({w: self.whole(" " + w) for w in words if w not in known})
+        if not plain:
+            return
+        strings = [" " + " ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+        # where each word's bytes end in all strings together: a space is one byte, and between strings nothing is left out
+        sizes = np.fromiter(map(len, map(str.encode, plain)), np.int64, len(plain)) + 1
+        ends, upto = np.cumsum(sizes), np.cumsum(self.bytes_of[ids])
+        cuts = np.searchsorted(upto, ends) + 1
+        if not (upto[cuts - 1] == ends).all():
+            raise ValueError("the vocabulary joins characters across words")
+        data, to = ids.astype(self.kind).tobytes(), (cuts * self.width).tolist()
+        self.memo.put({w: data[a:b] for w, a, b in zip(plain, [0, *to[:-1]], to, strict=True)})
+
+    def _pieces(self, text: str) -> tuple[list[str], list[str] | None]:
+        """A text's words, and where they are not simply all but the first, all its pieces."""
         if not self.by_words or self.special and self.special.search(text):
-            return self.whole(text)
-        get = self.memo.__getitem__
+            return [], [text]
         if not _UNSURE.search(text):
-            first, *rest = text.split(" ")
-            return self.whole(first) + b"".join(map(get, rest))
-        return b"".join([get(x[1:]) if x[:1] == " " and x[1:2] not in ("", " ") else self.whole(x) for x in _SAFE.split(text)])
+            return text.split(" "), None
+        pieces = _SAFE.split(text)
+        return [x[1:] for x in pieces if _is_word(x)], pieces
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        return [self.one(x) for x in texts]
+        split = [self._pieces(x) for x in texts]
+        new = set().union(*(words[1:] if pieces is None else words for words, pieces in split))
+        new -= self.memo.keys()
+        new -= self.memo.older.keys()
+        self._learn(list(new))
+        get, out = self.memo.__getitem__, []
+        for words, pieces in split:
+            if pieces is None:
+                out.append(self.whole(words[0]) + b"".join(map(get, words[1:])))
+            else:
+                out.append(b"".join([get(x[1:]) if words and _is_word(x) else self.whole(x) for x in pieces]))
+        self.memo.turn()
+        return out
+
+    def one(self, text: str) -> bytes:
+        return self([text])[0]
+
+
+def _is_word(piece: str) -> bool:
+    return piece[:1] == " " and piece[1:2] not in ("", " ")
 
 
 def encoder(path: str) -> Encoder:
@@ -202,8 +223,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
                 held, size, cut = [], 0, cut + 1
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                rows = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, LOT):
+                rows = batch.slice(low, LOT)
                 ids = rows.column("doc_id").to_pylist()
                 out: list[tuple] = []
                 for doc_id, data in zip(ids, own([x or "" for x in rows.column("text").to_pylist()]), strict=True):

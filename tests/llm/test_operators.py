@@ -285,10 +285,14 @@ def test_tokens_of_an_id_on_many_rows(spark):
 
 
 def test_words_are_forgotten_by_bytes(monkeypatch):
-    monkeypatch.setattr(token_shards, "REMEMBERED", 4000)
-    memo = token_shards._Memo(lambda x: x.encode() * 2)
-    assert [memo[f"w{k % 50}"] for k in range(500)] == [f"w{k % 50}".encode() * 2 for k in range(500)]
-    assert len(memo) + len(memo.older) <= 22
+    monkeypatch.setattr(token_shards, "REMEMBERED", 8000)
+    own = token_shards.Encoder(token_shards.default_tokenizer())
+    rng = random.Random(3)
+    alphabet = ["ka", "to", "É", "ñ", "'s", "12", "...", "ß", "\n", "x,", "日本", "-", "\t", " "]
+    for _ in range(30):
+        texts = ["".join(rng.choice(alphabet + [" "] * 6) for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        assert own(texts) == [own.whole(t) for t in texts]
+        assert own.memo.bytes < 8000 and len(own.memo.older) < 400
 
 
 def test_other_splittings_are_encoded_whole(tmp_path):
