@@ -36,9 +36,9 @@ class MappingError(ValueError):
     """Its text is the error code."""
 
 
-def resolved(base: str, url: str, with_host: bool = False) -> str | None:
-    """The absolute form of a URL, null if its scheme is not let through (or, with_host, it names no web host)."""
-    if not url:
+def resolved(base: str, url: str, with_host: bool = False, empty: bool = False) -> str | None:
+    """The absolute form of a URL, null if its scheme is not let through (or, with_host, it names no web host). An empty one counts only with `empty`."""
+    if not url and not empty:
         return None
     try:
         full = urljoin(base, url)

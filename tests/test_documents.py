@@ -129,6 +129,29 @@ def test_editorial_recoveries(spark):
     assert third[0].error == "missing-required-attribute: problemcode"
 
 
+def test_editorial_rows_that_end_early(spark):
+    """The parser closes one element for a start tag; the closing rules close the row, too, and the row's own end tag is then one too many."""
+    (rows,) = ir(spark, post("<table><tr><td>a<tr><td>b</table><p>c</p>"), mapper=editorial.editorial_nodes)
+    assert [(r.path, r.kind, r.text) for r in rows if r.kind in ("table_row", "table_cell", "text")] == [
+        ([0, 0], "table_row", None), ([0, 0, 0], "table_cell", None), ([0, 0, 0, 0], "text", "a"), ([0, 1], "table_row", None), ([0, 1, 0], "table_cell", None), ([0, 1, 0, 0], "text", "b"), ([1, 0], "text", "c"),
+    ]
+    assert [d.code for d in rows[0].diagnostics] == ["unexpected-end-tag"]
+
+
+def test_spoiler_titles_in_titles(spark):
+    (rows,) = ir(spark, post('<div class="spoiler">x<div class="spoiler-title">a<b class="spoiler-title">b</b></div><i class="spoiler-title">c</i></div>'), mapper=editorial.editorial_nodes)
+    assert [(r.path, r.text) for r in rows if r.kind == "text"] == [([0, -1, 0], "b"), ([0, -1, 1], "a"), ([0, -1, 2], "c"), ([0, 0], "x")]
+
+
+def test_editorial_limit_of_recoveries():
+    from kilnwork.operators.statement import MappingError
+
+    html = post("<script></script>" * 3)
+    assert len(editorial.blog(html, "", Limits(recoveries=3))[1]) == 3
+    with pytest.raises(MappingError, match="max-recoveries-exceeded"):
+        editorial.blog(html, "", Limits(recoveries=2))
+
+
 FRAGMENT = '<h3><a href="https://example.org/contest/17/problem/{0}">17{0}</a></h3><div class="ttypography"><p>Solve {0}.</p></div>'
 
 
