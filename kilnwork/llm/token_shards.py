@@ -37,6 +37,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -50,11 +51,10 @@ SHARD_TOKENS = 8 << 20
 BUCKET_KEYS = 200_000
 END_ID = 0
 #: Bytes that a worker's memory of words may take, and what an entry takes besides its text and ids.
-REMEMBERED, _ENTRY = 96 << 20, 200
-#: Texts in a lot, and words in a string that is encoded.
-LOT, JOINED = 500, 64
+REMEMBERED, _ENTRY = 160 << 20, 200
+#: Bytes of text in a lot, about, and words in a string that is encoded.
+LOT, JOINED = 4 << 20, 64
 _MAGIC = b"TOKS"
-_UNSURE = re.compile(r"[^!-~À-ɏ] |^ ")
 _SAFE = re.compile(r"(?<=[!-~À-ɏ])(?= )")
 _encoders: dict = {}
 
@@ -72,8 +72,8 @@ class _Memo(dict):
         self.older, self.bytes = {}, 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.older[word]
-        self.put({word: ids})
+        ids = self[word] = self.older[word]
+        self.bytes += _ENTRY + 4 * len(ids)
         return ids
 
     def put(self, words: dict[str, bytes]) -> None:
@@ -95,8 +95,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = _Memo()
         spec = json.loads(self.tokenizer.to_str())
         splits = spec.get("pre_tokenizer") or {}
@@ -110,12 +109,8 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of a space and each of these words."""
-        plain = [w for w in words if "!" <= w[-1:] <= "~" or "À" <= w[-1:] <= "ɏ"]
-        if len(plain) < len(words):
-            known = set(plain)
-            self.memo.put({w: self.whole(" " + w) for w in words if w not in known})
+    def _learn(self, plain: list[str]) -> None:
+        """Remembers the ids of a space and each of these words, all of which _ends_well()."""
         if not plain:
             return
         strings = [" " + " ".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)]
@@ -130,27 +125,50 @@ class Encoder:
         data, to = ids.astype(self.kind).tobytes(), (cuts * self.width).tolist()
         self.memo.put({w: data[a:b] for w, a, b in zip(plain, [0, *to[:-1]], to, strict=True)})
 
-    def _pieces(self, text: str) -> tuple[list[str], list[str] | None]:
-        """A text's words, and where they are not simply all but the first, all its pieces."""
-        if not self.by_words or self.special and self.special.search(text):
-            return [], [text]
-        if not _UNSURE.search(text):
-            return text.split(" "), None
-        pieces = _SAFE.split(text)
-        return [x[1:] for x in pieces if _is_word(x)], pieces
+    def _by_pieces(self, text: str) -> bytes:
+        """Ids of a text with blanks at which it must not be cut."""
+        out = []
+        for piece in _SAFE.split(text):
+            word = piece[1:] if piece[:1] == " " and piece[1:2] not in ("", " ") else None
+            ids = None if word is None else self.memo.get(word, self.memo.older.get(word))
+            if ids is None:
+                ids = self.whole(piece)
+                if word is not None and _ends_well(word):
+                    self.memo.put({word: ids})
+            out.append(ids)
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(x) for x in texts]
-        new = set().union(*(words[1:] if pieces is None else words for words, pieces in split))
-        new -= self.memo.keys()
-        new -= self.memo.older.keys()
-        self._learn(list(new))
-        get, out = self.memo.__getitem__, []
-        for words, pieces in split:
-            if pieces is None:
-                out.append(self.whole(words[0]) + b"".join(map(get, words[1:])))
+        simple = [k for k, x in enumerate(texts) if self.by_words and not any(s in x for s in self.special)]
+        known = set(simple)
+        out = [b"" if k in known else self.whole(x) for k, x in enumerate(texts)]
+        if not simple:
+            return out
+        lists = pa.compute.split_pattern(pa.array([texts[k] for k in simple], pa.string()), " ")
+        offsets, coded = lists.offsets.to_numpy(), lists.values.dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # words that a text must not be cut after are never remembered
+        well = [_ends_well(w) for w in words]
+        self._learn([w for w, good in zip(words, well, strict=True) if good and w not in self.memo and w not in self.memo.older])
+        get = self.memo.__getitem__
+        ids = [get(w) if good else b"" for w, good in zip(words, well, strict=True)]
+        first, last, bad = offsets[:-1], offsets[1:] - 1, ~np.array(well)[at]
+        amiss = np.add.reduceat(bad, first, dtype=np.int64) > bad[last]
+        # the ids of all words but first ones (they have no space before them), one after another
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width
+        many = sizes[at]
+        many[first] = 0
+        ends = np.cumsum(many)
+        source = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - many), many) + np.arange(int(ends[-1]))
+        data = np.frombuffer(b"".join(ids), self.kind)[source].tobytes()
+        upto = [0, *(ends[last] * self.width).tolist()]
+        for n, k in enumerate(simple):
+            if amiss[n]:
+                out[k] = self._by_pieces(texts[k])
             else:
-                out.append(b"".join([get(x[1:]) if words and _is_word(x) else self.whole(x) for x in pieces]))
+                middle = data[upto[n] : upto[n + 1]]
+                tail = self.whole(" " + words[at[last[n]]]) if bad[last[n]] and last[n] > first[n] else b""
+                out[k] = self.whole(words[at[first[n]]]) + middle + tail
         self.memo.turn()
         return out
 
@@ -158,8 +176,9 @@ class Encoder:
         return self([text])[0]
 
 
-def _is_word(piece: str) -> bool:
-    return piece[:1] == " " and piece[1:2] not in ("", " ")
+def _ends_well(word: str) -> bool:
+    """Whether a text may be cut after a word: it ends in a printable ASCII or Latin letter."""
+    return "!" <= word[-1:] <= "~" or "À" <= word[-1:] <= "ɏ"
 
 
 def encoder(path: str) -> Encoder:
@@ -179,6 +198,14 @@ def _fs(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3', 'abfss': 'abfs'}.get(scheme, scheme)}:{rest}")
 
 
+def _lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of lots of consecutive texts of about LOT bytes."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lot = (np.cumsum(sizes, dtype=np.int64) - sizes) // LOT
+    cuts = [0, *(np.flatnonzero(np.diff(lot)) + 1).tolist(), len(sizes)]
+    yield from ((a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _put(folder: str, name: str, parts: list[bytes]) -> None:
     fs, root = _fs(folder)
     fs.create_dir(root, recursive=True)
@@ -223,8 +250,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
                 held, size, cut = [], 0, cut + 1
 
         for batch in batches:
-            for low in range(0, batch.num_rows, LOT):
-                rows = batch.slice(low, LOT)
+            for low, n in _lots(batch.column("text")):
+                rows = batch.slice(low, n)
                 ids = rows.column("doc_id").to_pylist()
                 out: list[tuple] = []
                 for doc_id, data in zip(ids, own([x or "" for x in rows.column("text").to_pylist()]), strict=True):
