@@ -27,7 +27,7 @@ def math_normal(text: Column) -> Column:
         body = F.when(inside, F.replace(x, F.lit("\\lt"), F.lit("<"))).otherwise(x)
         return F.concat(F.when(k == 0, "").when(k <= paired, "$").otherwise("$$$"), body)
 
-    return F.array_join(F.transform(parts, part), "")
+    return F.when(F.contains(text, F.lit("$$$")), F.array_join(F.transform(parts, part), "")).otherwise(text)
 
 
 def escaped(text: Column) -> Column:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kilnwork.operators.once import once
 from kilnwork.operators.render import CLOSE
 from kilnwork.operators.statement import IR, IR_NAMES, IR_TYPES
 
@@ -34,8 +35,8 @@ def _attrs(attrs: Column) -> Column:
 
 
 def tree_json(nodes: DataFrame) -> DataFrame:
-    """(doc_id, json) of the trees of IR rows."""
-    rows = nodes.filter("path IS NOT NULL").select("doc_id", "path", "kind", "attrs", "text")
+    """(doc_id, json) of the trees of IR rows, which are computed once."""
+    rows = once(nodes).filter("path IS NOT NULL").select("doc_id", "path", "kind", "attrs", "text")
     up = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.greatest(F.size("path") - 1, F.lit(0))))
     rows = rows.withColumn("_up", up).withColumn("_first", F.row_number().over(Window.partitionBy("doc_id", "_up").orderBy("path")) == 1)
     counts = rows.filter(F.size("path") > 0).groupBy("doc_id", F.col("_up").alias("path")).agg(F.count("*").alias("_n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kilnwork.functions import text as T
 from kilnwork.functions import urls
+from kilnwork.operators.once import once
 
 CLOSE = 2147483647
 MAX_NODES, MAX_DEPTH = 50_000, 64
@@ -103,8 +104,11 @@ def _tokens(statement: Column) -> tuple[Column, Column, Column]:
 
 
 def rendered(nodes: DataFrame, content_kind: Column, validate: bool = True) -> DataFrame:
-    """(doc_id, html, error): one row a document; html is null where a node cannot be rendered, with the first error in document order."""
-    statement = content_kind == "statement"
+    """(doc_id, html, error): one row a document; html is null where a node cannot be rendered, with the first error in document order.
+
+    The nodes are computed once, and the rendering and the violations are read from that.
+    """
+    statement, nodes = content_kind == "statement", once(nodes)
     known = nodes.filter("path IS NOT NULL").withColumn("path", F.col("path").cast("array<int>"))
     end = F.concat("path", F.array(F.lit(CLOSE)))
     order = Window.partitionBy("doc_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
