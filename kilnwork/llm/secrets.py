@@ -20,10 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from functools import cached_property
 from math import log, sqrt
 
 import numpy as np
@@ -32,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnwork.llm.shared import forget, table, written
+from kilnwork.llm.words import blocks
 
 PER_KIND, PLAIN, ALPHA, TAIL, MARGIN = 300, 2000, 0.05, 0.05, log(1000)
 #: A candidate's least length, and the longest string that is trained on.
 LEAST, LONGEST = 6, 512
-#: Distinct candidates whose scores a task remembers.
-REMEMBERED = 200_000
+#: Longer runs are scored one by one, with the same result.
+LONG = 256
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -57,26 +57,52 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+_IS_RUN, _IS_EDGE = np.zeros(256, bool), np.zeros(256, bool)
+_IS_RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")] = True
+_IS_EDGE[list(b".-")] = True
+
+
+def points(data: np.ndarray) -> np.ndarray:
+    """The byte at which each code point of a UTF-8 buffer begins."""
+    return np.flatnonzero((data & 0xC0) != 0x80)
+
+
+def free_runs(data: np.ndarray, begins: np.ndarray, taken: list[list[tuple[int, int, int, str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and byte after the last of the candidates in a buffer of texts, which begin at `begins`, by place. What base spans hold is blanked in it."""
+    for k, spans in enumerate(taken):
+        if spans:
+            at = np.append(points(data[begins[k] : begins[k + 1]]), begins[k + 1] - begins[k]) + begins[k]
+            for start, _, end, _ in spans:
+                data[at[start] : at[end]] = 32
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = _IS_RUN[data]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    long = ends - starts >= LEAST
+    starts, ends = starts[long], ends[long]
+    if len(starts):
+        first, last = _IS_EDGE[data[starts]], _IS_EDGE[data[ends - 1]]
+        if first.any() or last.any():
+            core = np.flatnonzero(inside[1:-1] & ~_IS_EDGE[data])
+            core = np.concatenate([[-1], core, [len(data)]])
+            starts[first] = core[np.searchsorted(core, starts[first])]
+            ends[last] = core[np.searchsorted(core, ends[last]) - 1] + 1
+            long = ends - starts >= LEAST
+            starts, ends = starts[long], ends[long]
+    return starts, ends
+
+
+def joined(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts in one buffer, parted by line feeds, and the place where each begins (one place more than texts)."""
+    return np.frombuffer(b"\n".join(held) + b"\n", np.uint8).copy(), np.cumsum([0] + [len(x) + 1 for x in held])
+
+
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """(start, end, value) of the candidates: runs, and what base spans (by start) leave of them."""
-    ends = list(accumulate((x[2] for x in taken), max))
-    for m in _RUN.finditer(text):
-        start, end = m.span()
-        if not taken:
-            parts = [(start, end)]
-        else:
-            parts, at = [], start
-            for k in range(bisect_right(ends, start), bisect_left(taken, (end,))):  # the spans that touch the run
-                parts.append((at, min(taken[k][0], end)))
-                at = max(at, taken[k][2])
-            parts.append((at, end))
-        for a, b in parts:
-            if b - a >= LEAST:
-                value = text[a:b].lstrip(".-")
-                a = b - len(value)
-                value = value.rstrip(".-")
-                if len(value) >= LEAST:
-                    yield a, a + len(value), value
+    """(start, end, value) of a text's candidates: runs, and what base spans leave of them."""
+    data, begins = joined([text.encode("utf-8", "replace")])
+    at = points(data)
+    for a, b in zip(*free_runs(data, begins, [taken]), strict=True):
+        yield int(np.searchsorted(at, a)), int(np.searchsorted(at, b)), data[a:b].tobytes().decode()
 
 
 _CLASS = {c: k for k, cs in {"d": "0123456789", "a": "abcdef", "z": "ghijklmnopqrstuvwxyz", "A": "ABCDEF", "Z": "GHIJKLMNOPQRSTUVWXYZ", "_": "+/_=.-"}.items() for c in cs}
@@ -175,6 +201,36 @@ class Automaton:
         return (total + log((s.ends + 0.01) / (s.total + 0.1))) / (len(word) + 1)
 
 
+_CLASSES = "dazAZ_"
+_SYMBOL = np.zeros(256, np.intp)
+for _c, _k in _CLASS.items():
+    _SYMBOL[ord(_c)] = _CLASSES.index(_k)
+
+
+class Steps:
+    """An automaton as arrays: for each state and symbol (a class, or a literal's byte) what the step costs and where it leads; for each state what the end costs."""
+
+    def __init__(self, automaton: Automaton, literal: int):
+        ordinal = {k: n for n, k in enumerate(automaton.states)}  # the first state is the first
+        symbols = [*_CLASSES, *("=" + chr(k) for k in range(128))] if literal else list(_CLASSES)
+        self.literal, self.width = literal, len(symbols)
+        states = list(automaton.states.items())
+        self.cost = np.array([log((s.count.get(x, 0) + 0.01) / (s.total + 0.1)) for _, s in states for x in symbols])
+        self.next = np.array([ordinal[s.next.get(x, k)] for k, s in states for x in symbols], np.intp) * self.width
+        self.ends = np.array([log((s.ends + 0.01) / (s.total + 0.1)) for _, s in states])
+
+    def scores(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Automaton.score of runs of a buffer, longest first: all runs take a step at a time."""
+        at, total = np.zeros(len(starts), np.intp), np.zeros(len(starts))
+        left = np.searchsorted(-lengths, -np.arange(int(lengths[0])))  # how many runs have a step of this place
+        for k, n in enumerate(left):
+            letters = data[starts[:n] + k]
+            step = at[:n] + (letters.astype(np.intp) + len(_CLASSES) if k < self.literal else _SYMBOL[letters])
+            total[:n] += self.cost[step]
+            at[:n] = self.next[step]
+        return (total + self.ends[at // self.width]) / (lengths + 1)
+
+
 @dataclass
 class Formats:
     """For each kind its automaton, its number of literal characters and the least score that it takes; and the background."""
@@ -189,6 +245,34 @@ class Formats:
         plain = self.background.score(spelled(value, 0)) if self.background else -99.0
         return (max(scores) - plain) * (len(value) + 1) >= MARGIN
 
+    def all_likely(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """`likely` of runs of a buffer. Runs of over LONG bytes, which would take a step each alone, are scored one by one."""
+        lengths = ends - starts
+        out = np.zeros(len(starts), bool)
+        for k in np.flatnonzero(lengths > LONG):
+            out[k] = self.likely(data[starts[k] : ends[k]].tobytes().decode())
+        order = np.argsort(-lengths, kind="stable")
+        order = order[np.count_nonzero(lengths > LONG) :]
+        if len(order) and self.kinds:
+            best = np.full(len(order), -np.inf)
+            for steps, least in self._steps:
+                own = steps.scores(data, starts[order], lengths[order])
+                best = np.maximum(best, np.where(own >= least, own, -np.inf))
+            some = np.isfinite(best)
+            order, best = order[some], best[some]
+            if len(order):
+                plain = self._plain.scores(data, starts[order], lengths[order]) if self._plain else -99.0
+                out[order] = (best - plain) * (lengths[order] + 1) >= MARGIN
+        return out
+
+    @cached_property
+    def _steps(self) -> list[tuple[Steps, float]]:
+        return [(Steps(a, n), least) for a, n, least in self.kinds.values()]
+
+    @cached_property
+    def _plain(self) -> Steps | None:
+        return Steps(self.background, 0) if self.background else None
+
 
 def fit(labelled: dict[str, list[str]], plain: list[str]) -> Formats:
     kinds = {}
@@ -241,30 +325,37 @@ def learned(docs: DataFrame) -> Formats:
     return formats
 
 
+def format_spans(held: list[bytes], taken: list[list[tuple[int, int, int, str]]], formats: Formats) -> list[list[tuple[int, int]]]:
+    """For each text the (start, end) of its likely candidates, in code points, by start."""
+    out = [[] for _ in held]
+    if not formats.kinds:
+        return out
+    data, begins = joined(held)
+    starts, ends = free_runs(data, begins, taken)
+    found = formats.all_likely(data, starts, ends)
+    starts, ends = starts[found], ends[found]
+    texts = np.searchsorted(begins, starts, "right") - 1
+    for k in np.unique(texts):
+        at, own = points(data[begins[k] : begins[k + 1]]) + begins[k], texts == k
+        out[k] = list(zip(np.searchsorted(at, starts[own]).tolist(), np.searchsorted(at, ends[own]).tolist(), strict=True))
+    return out
+
+
 def with_formats(docs: DataFrame, formats: Formats) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_format) of every whole text."""
     own = docs.sparkSession.sparkContext.broadcast(formats)  # some hundred states
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        formats, known = own.value, {}
-
-        def likely(value: str) -> bool:
-            told = known.get(value)
-            if told is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                told = known[value] = formats.likely(value)
-            return told
-
+        formats = own.value
         for batch in batches:
             out = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                base = base_spans(text)
-                told = [(start, kind, f"{KINDS[kind]}:{start}:{end}") for start, kind, end, _ in base]
-                more = [(a, len(KINDS), f"format:{a}:{b}") for a, b, value in candidates(text, base) if likely(value)] if formats.kinds else []
-                spans = ",".join(x[2] for x in told)
-                out.append((*(sum(x[1] == k for x in told) for k in range(3)), hashlib.sha256(spans.encode()).hexdigest(), ",".join(x[2] for x in sorted(told + more)), len(more)))
+            for _, held in blocks(text.as_py() for text in batch.column("text")):
+                base = [base_spans(x.decode()) for x in held]
+                for spans, more in zip(base, format_spans(held, base, formats), strict=True):
+                    told = [(start, kind, f"{KINDS[kind]}:{start}:{end}") for start, kind, end, _ in spans]
+                    more = [(a, len(KINDS), f"format:{a}:{b}") for a, b in more]
+                    base_told = ",".join(x[2] for x in told)
+                    out.append((*(sum(x[1] == k for x in told) for k in range(3)), hashlib.sha256(base_told.encode()).hexdigest(), ",".join(x[2] for x in sorted(told + more)), len(more)))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_format"]

@@ -821,6 +821,26 @@ def test_candidates_are_all_runs_beside_base_spans():
         assert list(secrets.candidates(text, base)) == want, text
 
 
+def test_candidates_of_a_buffer_score_as_one_by_one():
+    """Arrays over a buffer of texts against a text and a candidate at a time; long runs, other alphabets and empty texts among them."""
+    rng = random.Random(9)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    hexes = lambda n: letters(n, "0123456789abcdef")
+    plain = [letters(rng.randint(6, 12), "aeioulnrst") for _ in range(300)]
+    formats = secrets.fit({"hex": [hexes(32) for _ in range(50)], "access": ["AKIA" + letters(16, "ABCDEFGH0123") for _ in range(50)]}, plain)
+    texts = credential_texts(60) + ["", "é" * 5 + hexes(20), f"ü {hexes(300)} ß {hexes(22)}-- ..{hexes(21)}", "-" * 5000, ".".join([hexes(20)] * 20), "AKIA" + letters(15, "ABCDEFGH0123"), " ".join(plain)]
+    base = [secrets.base_spans(t) for t in texts]
+    want = [[(a, b) for a, b, value in secrets.candidates(t, spans) if formats.likely(value)] for t, spans in zip(texts, base, strict=True)]
+    assert secrets.format_spans([t.encode() for t in texts], base, formats) == want
+    assert not want[60] and want[61] and want[62]  # hexadecimal runs too short for the fixed format; of some the likelihood is below the TAIL
+    words = [v for t in texts for _, _, v in secrets.candidates(t, secrets.base_spans(t)) if len(v) <= secrets.LONG] + plain
+    words.sort(key=len, reverse=True)
+    data, begins = secrets.joined([w.encode() for w in words])
+    for automaton, literal in [(a, n) for a, n, _ in formats.kinds.values()] + [(formats.background, 0)]:
+        told = secrets.Steps(automaton, literal).scores(data, begins[:-1], np.array([len(w) for w in words]))
+        assert told.tolist() == [automaton.score(secrets.spelled(w, literal)) for w in words]
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
