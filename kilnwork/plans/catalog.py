@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kilnwork.plans import documents, known, lifecycle, relational
+from kilnwork.plans import contest, documents, known, lifecycle, relational
 
-QUERIES = {**relational.QUERIES, **documents.QUERIES, **lifecycle.QUERIES, **known.QUERIES}
-SQL = {**relational.SQL, **documents.SQL, **lifecycle.SQL, **known.SQL}
+QUERIES = {**relational.QUERIES, **documents.QUERIES, **lifecycle.QUERIES, **known.QUERIES, **contest.QUERIES}
+SQL = {**relational.SQL, **documents.SQL, **lifecycle.SQL, **known.SQL, **contest.SQL}
