@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kilnwork.operators import catalog, status
+from kilnwork.functions import binary
+from kilnwork.operators import assets, catalog, receipts, status
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -156,8 +157,8 @@ def o11_list_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j7_orphan_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents that no label refers to: how many, and how many bytes."""
-    d = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti")
-    return d.agg(F.count("*").alias("removed_files"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("removed_bytes"))
+    stored = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.col("text").cast("binary").alias("payload"))
+    return assets.collected(assets.orphans(stored, read(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"))))
 
 
 def j8_reference_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,12 +185,15 @@ def q8_absence_two_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose first two events are valid receipts at different times, neither with a purchase: confirmed absent."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     e = read(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).filter("n <= 2")
-    rows = e.groupBy("user_id").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("times"), F.bool_and(F.col("event_type") != "error").alias("valid"), F.bool_and(F.col("event_type") != "purchase").alias("no_link"))
-    return rows.select("user_id", ((F.col("n") == 2) & (F.col("times") == 2) & F.col("valid") & F.col("no_link")).alias("confirmed_absent"))
+    looks = e.select(
+        F.col("user_id").alias("id"), (F.col("event_type") != "error").alias("ok"), F.lit("<p>x</p>").alias("body"), F.lit(200).alias("status_code"), F.lit(False).alias("blocked"),
+        F.lit(True).alias("recognized"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("fetched_at"), "event_type",
+    )
+    return receipts.absence(looks, F.col("event_type") == "purchase").select(F.col("id").alias("user_id"), F.col("confirmed").alias("confirmed_absent"))
 
 
 def f20_content_address_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    d = read(spark, sf_dir, "documents").select("doc_id", binary.digest(F.col("text").cast("binary")).alias("digest"))
     return d.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
