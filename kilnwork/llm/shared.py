@@ -103,3 +103,22 @@ def best_cut(scores, y, soft: float = 0.1) -> float:
     step = lambda x: 1 / (1 + np.exp(np.clip(x / width, -30, 30)))
     right = [step(t - good).mean() + step(bad - t).mean() for t in tries]
     return float(tries[int(np.argmax(right))])
+
+
+def cut_of_counts(points, good, bad, soft: float = 0.1) -> float:
+    """best_cut over counts of good and bad rows at ascending points, for any number of rows."""
+    import numpy as np
+
+    both = good + bad
+    n, upto = both.sum(), np.cumsum(both)
+    place = np.linspace(0, 1, 401) * (n - 1)
+    below, above = (points[np.searchsorted(upto, at, side="right")] for at in (np.floor(place), np.ceil(place)))
+    tries = below + (above - below) * (place - np.floor(place))
+    tries = np.unique(np.concatenate([tries, (tries[1:] + tries[:-1]) / 2]))
+    used = np.flatnonzero(both)
+    points, good, bad = points[used], good[used] / good.sum(), bad[used] / bad.sum()
+    both = both[used] / n
+    width = soft * np.sqrt(both @ (points - both @ points) ** 2) + 1e-9
+    step = lambda x: 1 / (1 + np.exp(np.clip(x / width, -30, 30)))
+    right = [good @ step(t - points) + bad @ step(points - t) for t in tries]
+    return float(tries[int(np.argmax(right))])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kilnwork.llm import cover_tree, forest_join, language, line_dedup, mixing, mph, positional, quality, secrets, token_shards, toxicity
 from kilnwork.llm.components import components
 from kilnwork.llm.cuckoo import Cuckoo
+from kilnwork.llm.shared import best_cut
 from kilnwork.llm.words import shingles, word_hashes, words_by_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -661,6 +662,37 @@ def test_ranking_lowers_the_pairwise_loss():
     assert loss < 0.6 * np.log(2) and (s[y == 1][:, None] > s[y == 0][None, :]).mean() > 0.9
 
 
+def test_ranking_is_learned_from_all_rows(spark):
+    """The first 3,000 rows of each label by hash tell nothing; those after them do."""
+    ids = spark.range(11_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "row_number() OVER (PARTITION BY id % 2, crc32(cast(cast(id AS string) AS binary)) % 4 = 2 ORDER BY xxhash64(id), id) AS place")
+    docs = ids.selectExpr("doc_id", "CASE WHEN place <= 3000 THEN 'alpha beta gamma' WHEN quality = 1 THEN 'quiet river stone' ELSE 'QUIET RIVER STONE' END AS text")
+    model = quality.trained(docs, ids.select("doc_id", "quality"))
+    good, bad = model.score(quality.features([b"quiet river stone", b"QUIET RIVER STONE"]))
+    assert good > 0.7 > bad
+
+
+def test_ranking_is_that_of_all_pairs():
+    """Against every pair written out: no slope is left; rows in blocks give the same ranking; edges are the quantiles of all rows."""
+    rng = np.random.default_rng(6)
+    y = (np.arange(500) % 5 > 1).astype(int)
+    x = np.round(rng.normal(size=(500, 24)) + y[:, None] * (np.arange(24) < 3), 1).astype(np.float32)
+    model = quality.fit(x, y)
+    laid = model.laid_out(x)
+    diff = (laid[y == 1][:, None] - laid[y == 0][None]).reshape(-1, laid.shape[1])
+    assert np.abs((1 / (1 + np.exp(diff @ model.w))) @ diff / len(diff) - quality.DECAY * model.w).max() < 1e-4
+    edges = np.quantile(x.astype(float), np.linspace(0, 1, quality.BINS + 1), axis=0)
+    assert np.abs(model.edges - edges).max() < 1e-4
+    blocks = quality.learned(lambda work: sum(work(x[k : k + 37], y[k : k + 37]) for k in range(0, 500, 37)))
+    assert np.allclose(blocks.w, model.w, atol=1e-6) and np.isclose(blocks.cut, model.cut, atol=1e-3)
+    assert np.isclose(model.cut, best_cut(model.raw(x), y), atol=1e-2)
+
+
+def test_quantiles_of_all_rows():
+    x = np.array([[0.0, -1.5, 3e-9], [0.0, 2.5, 1e9], [0.25, -2.0, 0.0], [0.0, 0.0, 7.0], [1.0, -1.5, 7.0], [0.0, 9.0, 1e-3]], np.float32)
+    found = quality.quantiles(lambda work: work(x, None), 6, 3, np.linspace(0, 1, 9))
+    assert np.allclose(found, np.quantile(x.astype(float), np.linspace(0, 1, 9), axis=0), rtol=1e-12)
+
+
 def test_quality_keeps_columns(spark):
     docs, labels, _ = labelled(spark, "quality")
     kept = quality.kept(docs, quality.trained(docs, labels))
